@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.operators import tablediff
+from graphweft.operators import spikes, tablediff
 from graphweft.session import table
+from graphweft.sources import trace_parser
 
 
 def _traces(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -22,7 +23,27 @@ def p1_differences(spark: SparkSession, d: str) -> DataFrame:
     return tablediff.trace_differences(*_traces(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_differences": p1_differences}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Readings that are spikes, stuck or impossible."""
+    return spikes.find_spikes(table(spark, d, "perf_records"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that can't be read, and why."""
+    return trace_parser.failures(trace_parser.parse_trace_lines(table(spark, d, "trace_lines"))).select("file_id", "line_no", "reason")
+
+
+def p3_vertices(spark: SparkSession, d: str) -> DataFrame:
+    """The valid vertex lines as typed rows."""
+    return trace_parser.vertices(trace_parser.parse_trace_lines(table(spark, d, "trace_lines")))
+
+
+def p3_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The valid edge lines as typed rows."""
+    return trace_parser.edges(trace_parser.parse_trace_lines(table(spark, d, "trace_lines")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_differences": p1_differences, "p2_found": p2_found, "p3_found": p3_found, "p3_vertices": p3_vertices, "p3_edges": p3_edges}
 
 _P1_COPY = """
 v_{c} AS (SELECT step, vec_id, vec, vec[1]::BIGINT AS uid FROM (SELECT DISTINCT step, vec_id, vec FROM vertex_trace_{c})),
