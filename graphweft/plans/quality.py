@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.operators import spikes, tablediff
+from graphweft.operators import drift, spikes, tablediff
 from graphweft.session import table
 from graphweft.sources import trace_parser
 
@@ -43,7 +43,17 @@ def p3_edges(spark: SparkSession, d: str) -> DataFrame:
     return trace_parser.edges(trace_parser.parse_trace_lines(table(spark, d, "trace_lines")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_differences": p1_differences, "p2_found": p2_found, "p3_found": p3_found, "p3_vertices": p3_vertices, "p3_edges": p3_edges}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of schema from file to file."""
+    return drift.schema_changes(table(spark, d, "perf_files"))
+
+
+def p4_table(spark: SparkSession, d: str) -> DataFrame:
+    """All records of all files under one schema."""
+    return drift.consistent_table(table(spark, d, "perf_files"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_differences": p1_differences, "p2_found": p2_found, "p3_found": p3_found, "p3_vertices": p3_vertices, "p3_edges": p3_edges, "p4_found": p4_found, "p4_table": p4_table}
 
 _P1_COPY = """
 v_{c} AS (SELECT step, vec_id, vec, vec[1]::BIGINT AS uid FROM (SELECT DISTINCT step, vec_id, vec FROM vertex_trace_{c})),
