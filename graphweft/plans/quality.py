@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphweft.functions import quantiles
 from graphweft.operators import drift, spikes, tablediff
 from graphweft.session import table
 from graphweft.sources import trace_parser
@@ -53,7 +55,33 @@ def p4_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(table(spark, d, "perf_files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_differences": p1_differences, "p2_found": p2_found, "p3_found": p3_found, "p3_vertices": p3_vertices, "p3_edges": p3_edges, "p4_found": p4_found, "p4_table": p4_table}
+P5_FIELDS, P5_AT, P5_ALPHA = ("metadata", "edges", "nquiets"), (0.01, 0.25, 0.5, 0.75, 0.9, 0.99), 0.01
+
+
+def _sketches_by_level(spark: SparkSession, d: str) -> DataFrame:
+    """level (run, app or pe), key, field, sign, bucket, n. A record delivered more than once counts once."""
+    once = table(spark, d, "perf_records").groupBy("record_id").agg(*[F.max(c).alias(c) for c in ("run_id", "app", "pe", *P5_FIELDS)])
+    levels = (("run", F.col("run_id").cast("string")), ("app", F.col("app")), ("pe", F.concat_ws("/", "run_id", "pe")))
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), v.alias("key")) for k, v in levels]))
+    rows = quantiles.unpivot_fields(once.select(*P5_FIELDS, at.alias("at")).select("at.level", "at.key", *P5_FIELDS), ("level", "key"), P5_FIELDS)
+    return quantiles.sketch(rows, "value", ("level", "key", "field"), P5_ALPHA)
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of metadata, edges and nquiets per run, app and PE, with their error bound."""
+    by = ("level", "key", "field")
+    return quantiles.percentiles(_sketches_by_level(spark, d), by, P5_AT, P5_ALPHA)
+
+
+def p5_daily_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The same per app, from sketches made per day (of logging) and then joined to those of all days."""
+    once = table(spark, d, "perf_records").groupBy("record_id").agg(*[F.max(c).alias(c) for c in ("logged_at", "app", *P5_FIELDS)])
+    rows = quantiles.unpivot_fields(once.withColumn("day", F.to_date("logged_at")), ("day", "app"), P5_FIELDS)
+    daily = quantiles.sketch(rows, "value", ("day", "app", "field"), P5_ALPHA)
+    return quantiles.percentiles(quantiles.merge(daily, ("app", "field")), ("app", "field"), P5_AT, P5_ALPHA)
+
+
+QUERIES = {"p1_found": p1_found, "p1_differences": p1_differences, "p2_found": p2_found, "p3_found": p3_found, "p3_vertices": p3_vertices, "p3_edges": p3_edges, "p4_found": p4_found, "p4_table": p4_table, "p5_percentiles": p5_percentiles, "p5_daily_merge": p5_daily_merge}
 
 _P1_COPY = """
 v_{c} AS (SELECT step, vec_id, vec, vec[1]::BIGINT AS uid FROM (SELECT DISTINCT step, vec_id, vec FROM vertex_trace_{c})),
@@ -66,7 +94,24 @@ e_{c} AS (SELECT r.step, v.uid FROM r_{c} r JOIN v_{c} v USING (step, vec_id)),
 p_{c} AS (SELECT t.step, v.uid, t.target, list_sort(list(DISTINCT t.dir)) AS dirs
   FROM t_{c} t JOIN v_{c} v USING (step, vec_id) GROUP BY ALL)
 """
+_P5_TAIL = """
+b AS (SELECT {by}, field, CASE WHEN value IS NULL OR isnan(value) THEN NULL WHEN value = 0 THEN 0 WHEN value > 0 THEN 1 ELSE -1 END AS sign,
+    CASE WHEN value IS NULL OR isnan(value) THEN NULL WHEN value = 0 THEN 0 WHEN isinf(value) THEN 2000000000 ELSE ceil(ln(abs(value)) / ln(1.01e0 / 0.99e0))::INTEGER END AS bucket
+  FROM x),
+c AS (SELECT {by}, field, sign, bucket, count(*) AS n FROM b GROUP BY ALL),
+w AS (SELECT *, sum(CASE WHEN bucket IS NULL THEN n ELSE 0 END) OVER (PARTITION BY {by}, field) AS n_unknown FROM c),
+r AS (SELECT *, sum(n) OVER (PARTITION BY {by}, field ORDER BY sign * (bucket::BIGINT + 3000000000)) AS upto, sum(n) OVER (PARTITION BY {by}, field) AS total
+  FROM w WHERE bucket IS NOT NULL)
+SELECT {by}, field, q::DOUBLE AS q, CASE WHEN sign = 0 THEN 0.0 WHEN bucket = 2000000000 THEN sign * 'inf'::DOUBLE ELSE sign * 2 * pow(1.01e0 / 0.99e0, bucket) / (1.01e0 / 0.99e0 + 1) END AS value,
+  total::BIGINT AS n, n_unknown::BIGINT AS n_unknown, 0.01::DOUBLE AS rel_error
+FROM r, (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.9, 0.99])::DOUBLE AS q) qs
+WHERE floor(q * (total - 1)) < upto AND floor(q * (total - 1)) >= upto - n
+"""
+_P5_ONCE = "u AS (SELECT DISTINCT ON (record_id) * FROM perf_records)"
+_P5_FIELDS = "unnest([{'field': 'metadata', 'value': metadata}, {'field': 'edges', 'value': edges}, {'field': 'nquiets', 'value': nquiets::DOUBLE}], recursive := true)"
 SQL = {
+    "p5_percentiles": f"WITH {_P5_ONCE}, l AS (SELECT unnest([{{'level': 'run', 'key': run_id::VARCHAR}}, {{'level': 'app', 'key': app}}, {{'level': 'pe', 'key': run_id || '/' || pe}}], recursive := true), metadata, edges, nquiets FROM u), x AS (SELECT level, key, {_P5_FIELDS} FROM l)," + _P5_TAIL.format(by="level, key"),
+    "p5_daily_merge": f"WITH {_P5_ONCE}, x AS (SELECT app, {_P5_FIELDS} FROM u)," + _P5_TAIL.format(by="app"),
     "p1_found": "WITH " + _P1_COPY.format(c="a") + "," + _P1_COPY.format(c="b") + """,
 jv AS (SELECT coalesce(a.step, b.step) AS step, coalesce(a.uid, b.uid) AS uid, a.vec_id AS ia, b.vec_id AS ib, a.vec AS va, b.vec AS vb, a.uid AS ua, b.uid AS ub
   FROM v_a a FULL JOIN v_b b ON a.step = b.step AND a.uid = b.uid),
