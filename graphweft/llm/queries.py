@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import lookalike
+from graphweft.llm import bpe, lookalike, mixing
 from graphweft.session import table
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode_ids(table(spark, d, "documents"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How many copies of every document the mixture takes."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture reaches, by source."""
+    return mixing.shares(p7_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents that look the same but differ in characters."""
     return lookalike.same_look_pairs(table(spark, d, "documents"))
@@ -18,5 +33,5 @@ def p8_folded(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.fold_column(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "folded")
 
 
-QUERIES = {"p8_found": p8_found, "p8_folded": p8_folded}
+QUERIES = {"p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_folded": p8_folded}
 SQL: dict[str, str] = {}
