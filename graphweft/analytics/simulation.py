@@ -179,7 +179,7 @@ def pursuit(spark, n: int) -> DataFrame:
     from graphweft.operators.bsp import run_supersteps
 
     links = spark.createDataFrame([(0, 1), (1, 0)], "src int, dst int")
-    limit = F.lit(n - 2).cast("long") + F.col("actor")
+    limit = F.lit(n - 2).cast("long") + F.col("id")
     done, _ = run_supersteps(state.withColumnRenamed("actor", "id"), links, F.col("s.pos"), F.max, {"pos": lambda o: F.when((F.abs(o - F.col("pos")) <= 2) & (F.col("pos") < limit), F.col("pos") + 1).otherwise(F.col("pos"))}, max_steps=n + 2, frontier_only=False)
     return done.withColumnRenamed("id", "actor")
 

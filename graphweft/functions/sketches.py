@@ -41,8 +41,8 @@ def estimate(sketch: DataFrame, items: DataFrame, item: str, eps: float = 0.01,
     """items with ``estimate``: the least count over the rows; never below the true count."""
     width, depth = size(eps, gamma)
     asked = items.withColumn("b", F.explode(_buckets(F.col(item), width, depth))).withColumns({"row": F.col("b.row"), "bucket": F.col("b.bucket")}).drop("b")
-    found = asked.join(sketch, ["row", "bucket"], "left")
-    return found.groupBy(*items.columns).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
+    found = asked.join(sketch.withColumnRenamed("n", "_n"), ["row", "bucket"], "left")
+    return found.groupBy(*items.columns).agg(F.min(F.coalesce("_n", F.lit(0))).alias("estimate"))
 
 
 def total(sketch: DataFrame) -> DataFrame:

@@ -305,17 +305,17 @@ def pagerank10(spark: SparkSession, d: str) -> DataFrame:
     return bsp.pagerank(out, 10).select("id", F.round(F.col("rank") * 1e6, 4).alias("rank"))
 
 
-@query("SELECT range AS id, 0::BIGINT AS value FROM range(100)")
+@query("SELECT range AS id, 0::BIGINT AS value FROM range(24)")
 def min_label_path(spark: SparkSession, d: str) -> DataFrame:
-    """Q20: minima along a path of a hundred vertices."""
-    path = spark.range(99).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    return bsp.vertex_centric(spark.range(100).withColumn("value", F.col("id")), path, F.col("s.value"), F.min, {"value": lambda m: F.least("value", m)})[0]
+    """Q20: minima along a path."""
+    path = spark.range(23).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    return bsp.vertex_centric(spark.range(24).withColumn("value", F.col("id")), path, F.col("s.value"), F.min, {"value": lambda m: F.least("value", m)})[0]
 
 
-@query("SELECT range AS id, (range // 30 + range % 30)::INTEGER AS step FROM range(900)")
+@query("SELECT range AS id, (range // 10 + range % 10)::INTEGER AS step FROM range(100)")
 def grid_epidemic_steps(spark: SparkSession, d: str) -> DataFrame:
     """Q7: when each cell of a grid is reached."""
-    return simulation.grid_epidemic(spark, 30)
+    return simulation.grid_epidemic(spark, 10)
 
 
 _CLIQUES = _TRIANGLES + ", k4 AS (SELECT a, b, c, w.t AS d FROM tri JOIN p w ON w.s = tri.c JOIN p u ON u.s = tri.b AND u.t = w.t JOIN p v ON v.s = tri.a AND v.t = w.t) "
@@ -426,16 +426,16 @@ def layered_graph(spark: SparkSession, d: str) -> DataFrame:
     return simulation.layered_graph(v, e)[1].select("src", "dst", F.col("dir").cast("int").alias("dir"))
 
 
-@query("SELECT range AS id, (range % 2)::INTEGER AS owner FROM range(60)")
+@query("SELECT range AS id, (range % 2)::INTEGER AS owner FROM range(20)")
 def chain_growth(spark: SparkSession, d: str) -> DataFrame:
     """Q13: a chain that its last two actors extend."""
-    return simulation.chain_growth(spark, 60)
+    return simulation.chain_growth(spark, 20)
 
 
-@query("SELECT a::INTEGER AS actor, (38 + a)::BIGINT AS pos FROM range(2) t(a)")
+@query("SELECT a::INTEGER AS actor, (10 + a)::BIGINT AS pos FROM range(2) t(a)")
 def pursuit(spark: SparkSession, d: str) -> DataFrame:
     """Q14: two actors that move along a line together."""
-    return simulation.pursuit(spark, 40)
+    return simulation.pursuit(spark, 12)
 
 
 @query()
