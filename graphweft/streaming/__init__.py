@@ -1,0 +1 @@
+"""Structured Streaming ingest of edges and events."""
