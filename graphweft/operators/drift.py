@@ -229,7 +229,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _changes(fields: DataFrame, profile: DataFrame, order: DataFrame) -> DataFrame:
-    pairs = _file_pairs(profile, order)
+    pairs = cut(_file_pairs(profile, order))
     both = pairs.join(_agreements(fields, pairs), ["stream_id", "file_no"], "left")
     plain = both.select("stream_id", "file_no", "prev_file", F.to_json("fields", {"ignoreNullFields": "false"}).alias("fields"), F.to_json("agree").alias("agree"))
     return plain.mapInPandas(_compare, "stream_id int, file_no int, prev_file int, change string, old_field string, new_field string")
@@ -243,7 +243,7 @@ def schema_changes(files: DataFrame) -> DataFrame:
     changes none; files without any readable object don't take part; an empty table gives no rows.
     """
     fields = explode_fields(files)
-    profile = profile_files(fields)
+    profile = cut(profile_files(fields))
     return _changes(fields, profile, file_order(profile)).drop("prev_file")
 
 
