@@ -199,7 +199,7 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     hard = mixture.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens_available"), F.sum(copied).alias("tokens"), F.max("target_share").alias("target_share"), F.max("copies").alias("most_copies"))
     soft = mixture.where("copies > 0").select(F.explode("membership").alias("source", "p"), copied.alias("t")).groupBy("source").agg(F.sum(F.col("p") * F.col("t")).alias("soft_tokens"))
     total = mixture.agg(F.sum(copied).alias("total"))
-    rows = hard.join(targets.groupBy("source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats")), "source", "full_outer").join(soft, "source", "left").join(F.broadcast(total))
+    rows = hard.join(targets.where("source is not null").groupBy("source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats")), "source", "full_outer").join(soft, "source", "left").join(F.broadcast(total))
     nil = lambda c: F.coalesce(F.col(c), F.lit(0))
     part = lambda c: F.round(F.when(F.col("total") > 0, nil(c) / F.col("total")).otherwise(0.0), 6)
     return rows.select("source", "target_weight", "max_repeats", F.round(F.coalesce("target_share", F.lit(0.0)), 6).alias("target_share"), nil("documents").alias("documents"), nil("tokens_available").alias("tokens_available"), nil("tokens").alias("tokens"), nil("most_copies").alias("most_copies"), part("tokens").alias("share"), part("soft_tokens").alias("soft_share"))
