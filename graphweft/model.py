@@ -113,7 +113,7 @@ def add_vertices(left: DataFrame, right: DataFrame, attributes: Sequence[str]) -
 
 def vertex_text(attributes: Sequence[str]) -> Column:
     """``0: %f, 1: %f, ...`` of the attributes; null ones are left out."""
-    return F.concat_ws(", ", *[F.concat(F.lit(f"{i}: "), F.format_string("%f", F.col(a).cast("double"))) for i, a in enumerate(attributes)])
+    return F.concat_ws(", ", *[F.when(F.col(a).isNotNull(), F.concat(F.lit(f"{i}: "), F.format_string("%f", F.col(a).cast("double")))) for i, a in enumerate(attributes)])
 
 
 def canonical_edges(edges: DataFrame, order: str | None = None) -> DataFrame:

@@ -196,13 +196,15 @@ def run_dynamic(graph: model.Graph, step: Callable[[int, model.Graph, DataFrame
 
 
 def update_in_pandas(vertices: DataFrame, adjacency: DataFrame, update: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """The escape hatch for updates that columns can't express: ``update(vertex row, its neighbours' rows)`` per vertex.
+    """The escape hatch for updates that columns can't express: ``update(vertex row, its neighbours)`` per vertex,
+    the neighbours as rows of _at, dst, dir and their attributes with n_ before the name.
 
     Each vertex's neighbourhood must fit a task; aggregate with :func:`run_supersteps` where it may not."""
-    near = adjacency.join(vertices.withColumnRenamed("id", "dst"), "dst").withColumnRenamed("src", "id")
+    names = [c for c in vertices.columns if c != "id"]
+    near = adjacency.join(vertices.select(F.col("id").alias("dst"), *[F.col(c).alias(f"n_{c}") for c in names]), "dst").select(F.col("src").alias("_at"), "dst", "dir", *[f"n_{c}" for c in names])
 
     def apply(v: pd.DataFrame, neighbours: pd.DataFrame) -> pd.DataFrame:
         return update(v, neighbours)
 
-    return vertices.groupBy("id").cogroup(near.groupBy("id")).applyInPandas(apply, schema)
+    return vertices.groupBy("id").cogroup(near.groupBy("_at")).applyInPandas(apply, schema)
 

@@ -12,7 +12,7 @@ _DIRS = ("IN", "OUT", "BI")
 
 def vertex_lines(vertices: DataFrame, attributes: list[str], step: int) -> DataFrame:
     """value: step,owner,id,n,(slot,value)* per vertex; null attributes are written as nan."""
-    pairs = [F.concat(F.lit(f"{i},"), F.coalesce(F.format_string("%f", F.col(a).cast("double")), F.lit("nan"))) for i, a in enumerate(attributes)]
+    pairs = [F.concat(F.lit(f"{i},"), F.when(F.col(a).isNull(), "nan").otherwise(F.format_string("%f", F.col(a).cast("double")))) for i, a in enumerate(attributes)]
     text = lambda c: F.lower(F.regexp_replace(c, "Infinity", "inf"))
     return vertices.select(text(F.concat_ws(",", F.lit(str(step)), F.col("owner").cast("string"), F.col("id").cast("string"), F.lit(str(len(attributes))), *pairs)).alias("value"))
 
