@@ -167,3 +167,18 @@ def difference_fields(differences: DataFrame) -> DataFrame:
     """One row per missing row or differing field: record, step, uid, field."""
     fields = F.when(F.col("status") == "differs", F.transform("diffs", lambda d: d["field"])).otherwise(F.array("status"))
     return differences.select("record", "step", "uid", F.explode(fields).alias("field"))
+
+
+def compare_many(copies: dict[str, tuple[DataFrame, DataFrame]], against: str | None = None) -> DataFrame:
+    """left, right, record, step, uid, status, diffs: the differences of several copies (name -> vertices, edges), each with
+    each, or each with the one named ``against``. Missing rows are named by the copy's side, a for left and b for right."""
+    names = sorted(copies)
+    pairs = [(against, n) for n in names if n != against] if against is not None else [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    out = None
+    for a, b in pairs:
+        (va, ea), (vb, eb) = copies[a], copies[b]
+        one = trace_differences(va, vb, ea, eb).select(F.lit(a).alias("left"), F.lit(b).alias("right"), "*")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("at least two copies are needed")
+    return out

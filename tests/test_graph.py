@@ -201,3 +201,47 @@ def test_patches_keep_their_mosquitoes(spark):
     assert abs(n[0] - 1000) < 0.01 and e[0] > 0 and i[0] < 100  # at capacity births balance deaths
     s2, e2, *_ = simulation.mosquito_steps(one(900.0), one(0.0), one(100.0), one(1000.0), one(0.0), one(0.0), m)
     assert e2[0] == 0
+
+
+def test_stale_edges_go_when_a_vertex_moves_away(spark):
+    both = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.5, 0.0)], "id long, x double, y double")
+    old = rangejoin.implicit_edges(both, ["x", "y"], 1.0)
+    away = both.withColumn("x", F.when(F.col("id") == 2, 9.0).otherwise(F.col("x")))
+    assert old.count() == 1 and rangejoin.refresh_edges(old, away, both.where("id = 2"), ["x", "y"], 1.0).count() == 0
+
+
+def test_one_vertex_has_its_own_edge(spark):
+    one = spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double")
+    e = rangejoin.implicit_edges(one, ["x", "y"], 1.0, self_edges=True)
+    assert [(r["src"], r["dst"]) for r in e.collect()] == [(1, 1)] and neighbors.degrees(model.adjacency(e)).first()["degree"] == 1
+
+
+def test_coupled_values_advance_in_lock_step(spark):
+    owners = spark.range(4).select(F.col("id").cast("int").alias("owner"))
+    cl = coupling.clusters(owners, owners.select("owner", F.lit(0).alias("other")))
+    for step in range(2):
+        v = owners.select("owner", F.lit(step + 1).alias("x"))
+        rows = coupling.coupled_metrics(v, cl, {"x": F.max("x")}).collect()
+        assert {r["members"] for r in rows} == {4} and {r["all_x"] for r in rows} == {4 * (step + 1)}
+
+
+def test_delayed_pairs_need_both_flags(spark):
+    owners = spark.createDataFrame([(i, i != 5) for i in range(6)], "owner int, flag boolean")
+    assert sorted(map(tuple, coupling.modulo_partners(owners, 6, F.col("flag")).collect())) == [(0, 3), (1, 4)]
+
+
+def test_inserted_and_deleted_vertices(spark):
+    v = spark.range(4).select("id", F.lit(0).alias("owner"), F.lit(None).cast("long").alias("part"), F.lit(0).alias("created"))
+    g = model.Graph(v, edge_df(spark, [(0, 1), (1, 2), (2, 3)]))
+
+    def step(k, graph, _):
+        if k == 2:
+            return bsp.Mutations()
+        if k == 0:
+            new = spark.createDataFrame([(9, 0, None, 0)], v.schema)
+            return bsp.Mutations(create=new, edges=spark.createDataFrame([(9, 0, 3)], "src long, dst long, dir tinyint"))
+        return bsp.Mutations(delete=graph.vertices.where("id = 0"))
+
+    done, _ = bsp.run_dynamic(g, step, 5)
+    assert sorted(r["id"] for r in done.vertices.collect()) == [1, 2, 3, 9] and sorted((r["src"], r["dst"]) for r in done.edges.collect()) == [(1, 2), (2, 3)]
+    assert neighbors.khop(done.adjacency(), done.vertices.where("id = 9"), 3).count() == 1

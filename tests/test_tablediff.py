@@ -41,3 +41,10 @@ def test_edges_by_vertex_not_id(spark):
 def test_differences_carry_both_values(spark):
     d = T.compare_vertex_traces(vertices(spark, (0, 1, [7.0, 1.0])), vertices(spark, (0, 1, [7.0, 2.0]))).collect()
     assert [(r["status"], [tuple(x) for x in r["diffs"]]) for r in d] == [("differs", [("vec.1", "1.0", "2.0")])]
+
+
+def test_many_copies(spark):
+    copies = {n: (vertices(spark, (0, 1, [7.0, x])), edges(spark)) for n, x in (("p", 1.0), ("q", 1.0), ("r", 2.0))}
+    got = T.compare_many(copies).select("left", "right").collect()
+    assert sorted(map(tuple, got)) == [("p", "r"), ("q", "r")]
+    assert [tuple(r) for r in T.compare_many(copies, "r").select("left", "right").orderBy("right").collect()] == [("r", "p"), ("r", "q")]
