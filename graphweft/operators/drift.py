@@ -94,17 +94,18 @@ def _file_pairs(profile: DataFrame, order: DataFrame) -> DataFrame:
     return by_field.groupBy("stream_id", "prev_file", "file_no").agg(F.array_sort(F.collect_list(one)).alias("fields"))
 
 
-def _agreements(fields: DataFrame, pairs: DataFrame) -> DataFrame:
+def _agreements(files: DataFrame, pairs: DataFrame) -> DataFrame:
     """stream_id, file_no, agree: per pair of files the array of (gone, new, both, same) over the records both files hold.
 
-    Values are looked at only for fields gone and new of pairs that have both."""
+    Only files of pairs that have both gone and new fields are taken apart again, and only those fields' values kept."""
     names = lambda old, new: F.transform(F.filter("fields", lambda x: (x["in_prev"] == F.lit(old)) & (x["in_cur"] == F.lit(new))), lambda x: x["field"])
     open_pairs = pairs.select("stream_id", "prev_file", "file_no", names(True, False).alias("gone"), names(False, True).alias("new")).where("size(gone) > 0 and size(new) > 0")
     wanted = open_pairs.select("stream_id", F.col("prev_file").alias("in_file"), F.col("file_no").alias("pair"), F.explode("gone").alias("field"), F.lit(True).alias("old")).unionByName(
         open_pairs.select("stream_id", F.col("file_no").alias("in_file"), F.col("file_no").alias("pair"), F.explode("new").alias("field"), F.lit(False).alias("old"))
     )
-    values = fields.select("stream_id", F.col("file_no").alias("in_file"), "pe", "timestep", "field", carried_number(F.col("type"), F.col("text")).alias("x"))
-    kept = values.join(wanted, ["stream_id", "in_file", "field"]).where("x is not null and pe is not null and timestep is not null")
+    again = files.join(wanted.select("stream_id", F.col("in_file").alias("file_no")).distinct(), ["stream_id", "file_no"], "left_semi")
+    values = explode_fields(again).select("stream_id", F.col("file_no").alias("in_file"), "pe", "timestep", "field", "type", "text").where("pe is not null and timestep is not null")
+    kept = values.join(wanted, ["stream_id", "in_file", "field"]).withColumn("x", carried_number(F.col("type"), F.col("text"))).where("x is not null")
     of = lambda old: F.collect_set(F.when(F.col("old") == F.lit(old), F.struct("field", "x")))
     records = kept.groupBy("stream_id", "pair", "pe", "timestep").agg(of(True).alias("gone"), of(False).alias("new")).where("size(gone) > 0 and size(new) > 0")
     crossed = records.select("stream_id", "pair", F.explode("gone").alias("g"), "new").select("stream_id", "pair", "g", F.explode("new").alias("n"))
@@ -228,9 +229,9 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["stream_id", "file_no", "prev_file", "change", "old_field", "new_field"])
 
 
-def _changes(fields: DataFrame, profile: DataFrame, order: DataFrame) -> DataFrame:
+def _changes(files: DataFrame, profile: DataFrame, order: DataFrame) -> DataFrame:
     pairs = cut(_file_pairs(profile, order))
-    both = pairs.join(_agreements(fields, pairs), ["stream_id", "file_no"], "left")
+    both = pairs.join(_agreements(files, pairs), ["stream_id", "file_no"], "left")
     plain = both.select("stream_id", "file_no", "prev_file", F.to_json("fields", {"ignoreNullFields": "false"}).alias("fields"), F.to_json("agree").alias("agree"))
     return plain.mapInPandas(_compare, "stream_id int, file_no int, prev_file int, change string, old_field string, new_field string")
 
@@ -242,9 +243,8 @@ def schema_changes(files: DataFrame) -> DataFrame:
     no changes; files opened at the same time are ordered by file_no; a field whose values are all null has no type and
     changes none; files without any readable object don't take part; an empty table gives no rows.
     """
-    fields = explode_fields(files)
-    profile = cut(profile_files(fields))
-    return _changes(fields, profile, file_order(profile)).drop("prev_file")
+    profile = cut(profile_files(explode_fields(files)))
+    return _changes(files, profile, file_order(profile)).drop("prev_file")
 
 
 def canonical_names(profile: DataFrame, order: DataFrame, changes: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def consistent_table(files: DataFrame, columns: Sequence[str] = COLUMNS) -> Data
     fields = explode_fields(files)
     profile = cut(profile_files(fields))
     order = cut(file_order(profile))
-    changes = cut(_changes(fields, profile, order))
+    changes = cut(_changes(files, profile, order))
     names = canonical_names(profile, order, changes)
     value = carried_number(F.col("type"), F.col("text"))
     named = fields.where("field not in ('pe', 'timestep') and pe is not null and timestep is not null").join(names, ["stream_id", "file_no", "field"]).select("stream_id", "pe", "timestep", "name", F.struct("opened_at", "file_no").alias("at"), value.alias("x"), "text")
