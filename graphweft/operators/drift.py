@@ -30,15 +30,17 @@ _NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*[A-Za-z%/]*\s*$"
 _FIRST_NUMBER = r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
 
 
-def explode_fields(files: DataFrame) -> DataFrame:
+def explode_fields(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """stream_id, file_no, opened_at, pe, timestep, field, type, shape, text: one row per field of each object.
 
-    Rows repeated unchanged count once; a payload that isn't a JSON object (null, broken, a list) has no fields."""
+    ``names`` (stream_id, file_no, names: a map of field to name, one row a file) adds the column name and leaves out files
+    without a row. Rows repeated unchanged count once; a payload that isn't a JSON object (null, broken, a list) has no fields."""
     once = files.select("stream_id", "file_no", "opened_at", "line_no", "payload").dropDuplicates(["stream_id", "file_no", "line_no", "payload"])
-    parsed = once.select("stream_id", "file_no", "opened_at", F.try_parse_json("payload").alias("doc")).where(F.schema_of_variant("doc").startswith("OBJECT"))
+    named = once.withColumn("names", F.lit(None).cast("map<string,string>")) if names is None else once.join(names, ["stream_id", "file_no"])
+    parsed = named.select("stream_id", "file_no", "opened_at", "names", F.try_parse_json("payload").alias("doc")).where(F.schema_of_variant("doc").startswith("OBJECT"))
     flat = files.sparkSession.sql(
         """SELECT stream_id, file_no, opened_at, try_variant_get(doc, '$.pe', 'bigint') AS pe, try_variant_get(doc, '$.timestep', 'bigint') AS timestep,
-                  e.key AS field, schema_of_variant(e.value) AS shape, try_variant_get(e.value, '$', 'string') AS text
+                  e.key AS field, names[e.key] AS name, schema_of_variant(e.value) AS shape, try_variant_get(e.value, '$', 'string') AS text
            FROM {parsed}, LATERAL variant_explode(doc) e""",
         parsed=parsed,
     )
@@ -50,7 +52,8 @@ def explode_fields(files: DataFrame) -> DataFrame:
         .when(shape.isin("DOUBLE", "FLOAT"), "double").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
         .when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object")
     )
-    return flat.withColumn("type", kind).withColumn("shape", F.when(F.col("type") == "object", F.col("shape")))
+    out = flat.withColumn("type", kind).withColumn("shape", F.when(F.col("type") == "object", F.col("shape")))
+    return out if names is not None else out.drop("name")
 
 
 def carried_number(kind: F.Column, text: F.Column) -> F.Column:
@@ -290,13 +293,13 @@ def consistent_table(files: DataFrame, columns: Sequence[str] = COLUMNS) -> Data
     Each field stands under the first name it had in its stream. A record that several files hold comes once, each value
     from the latest file that has one. Values that carry no number (stray texts, booleans) are null in the columns; the map
     keeps texts as they are. Names in a map that differ only by spelling stay apart."""
-    fields = explode_fields(files)
-    profile = cut(profile_files(fields))
+    profile = cut(profile_files(explode_fields(files)))
     order = cut(file_order(profile))
     changes = cut(_changes(files, profile, order))
-    names = canonical_names(profile, order, changes)
+    names = canonical_names(profile, order, changes).groupBy("stream_id", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
     value = carried_number(F.col("type"), F.col("text"))
-    named = fields.where("field not in ('pe', 'timestep') and pe is not null and timestep is not null").join(names, ["stream_id", "file_no", "field"]).select("stream_id", "pe", "timestep", "name", F.struct("opened_at", "file_no").alias("at"), value.alias("x"), "text")
+    named = explode_fields(files, names).where("field <> 'timestep' and pe is not null and timestep is not null").select("stream_id", "pe", "timestep", "name", F.struct("opened_at", "file_no").alias("at"), value.alias("x"), "text")
+    named = named.repartition("stream_id", "pe", "timestep")  # serves both aggregations; few values come twice
     latest = named.groupBy("stream_id", "pe", "timestep", "name").agg(F.max(F.when(F.col("x").isNotNull(), F.struct("at", "x")))["x"].alias("x"), F.max(F.when(F.col("text").isNotNull(), F.struct("at", "text")))["text"].alias("text"))
-    other = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("name").isin(*columns) & F.col("text").isNotNull(), F.struct("name", "text")))))
+    other = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("name").isin("pe", *columns) & F.col("text").isNotNull(), F.struct("name", "text")))))
     return latest.groupBy("stream_id", "pe", "timestep").agg(*[F.max(F.when(F.col("name") == c, F.col("x"))).alias(c) for c in columns], other.alias("other"))

@@ -46,7 +46,10 @@ def test_one_to_one_and_stray_agreement(spark):
 
 def test_consistent_table_follows_chains_of_names(spark):
     a, b, c = recs(0, 6, edges=float), recs(3, 6, edge_ms=float), recs(6, 6, links=lambda t: f"{t}.0", hits=int)
-    rows = {r["timestep"]: r for r in D.consistent_table(files(spark, [a, b, c])).collect()}
+    a.append({"pe": 5, "timestep": 0})
+    every = D.consistent_table(files(spark, [a, b, c])).collect()
+    rows = {r["timestep"]: r for r in every if r["pe"] == 0}
+    assert [(r["edges"], r["other"]) for r in every if r["pe"] == 5] == [(None, {})]
     assert len(rows) == 12 and all(rows[t]["edges"] == float(t) for t in range(12)) and rows[11]["other"] == {"hits": "11"} and rows[0]["other"] == {}
 
 
