@@ -27,6 +27,7 @@ from graphweft.session import cut
 #: A rename needs this share of the comparable values, and at least so many, to be the same.
 SAME_SHARE, SAME_LEAST = 0.6, 2
 _NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*[A-Za-z%/]*\s*$"
+_BARE_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 _FIRST_NUMBER = r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
 
 
@@ -291,15 +292,22 @@ def consistent_table(files: DataFrame, columns: Sequence[str] = COLUMNS) -> Data
     """All records of all files in one table: stream_id, pe, timestep, one double per column, and a map of other fields.
 
     Each field stands under the first name it had in its stream. A record that several files hold comes once, each value
-    from the latest file that has one. Values that carry no number (stray texts, booleans) are null in the columns; the map
-    keeps texts as they are. Names in a map that differ only by spelling stay apart."""
+    from the latest file that has one. A column has the latest number; where there is none, the latest boolean as 0 or 1.
+    The map keeps texts as they are: of other fields the latest, of columns the latest value of those that the column can't
+    carry whole (booleans, lists, objects, stray texts, numbers with a unit, whole numbers that a double would round).
+    Names in a map that differ only by spelling stay apart."""
     profile = cut(profile_files(explode_fields(files)))
     order = cut(file_order(profile))
     changes = cut(_changes(files, profile, order))
     names = canonical_names(profile, order, changes).groupBy("stream_id", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
-    value = carried_number(F.col("type"), F.col("text"))
-    named = explode_fields(files, names).where("field <> 'timestep' and pe is not null and timestep is not null").select("stream_id", "pe", "timestep", "name", F.struct("opened_at", "file_no").alias("at"), value.alias("x"), "text")
+    kind, text = F.col("type"), F.col("text")
+    value = carried_number(kind, text)
+    whole = F.when(kind == "string", text.rlike(_BARE_NUMBER)).when(kind == "integer", F.abs(value) < 2**53).otherwise(kind == "double")
+    kept = F.when(~F.col("name").isin(*columns) | value.isNull() | ~F.coalesce(whole, F.lit(False)), text)
+    flag = F.when(kind == "boolean", (text == "true").cast("double"))
+    named = explode_fields(files, names).where("field <> 'timestep' and pe is not null and timestep is not null").select("stream_id", "pe", "timestep", "name", F.struct("opened_at", "file_no").alias("at"), value.alias("x"), flag.alias("flag"), kept.alias("text"))
     named = named.repartition("stream_id", "pe", "timestep")  # serves both aggregations; few values come twice
-    latest = named.groupBy("stream_id", "pe", "timestep", "name").agg(F.max(F.when(F.col("x").isNotNull(), F.struct("at", "x")))["x"].alias("x"), F.max(F.when(F.col("text").isNotNull(), F.struct("at", "text")))["text"].alias("text"))
-    other = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("name").isin("pe", *columns) & F.col("text").isNotNull(), F.struct("name", "text")))))
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("at", c)))[c]
+    latest = named.groupBy("stream_id", "pe", "timestep", "name").agg(F.coalesce(last("x"), last("flag")).alias("x"), last("text").alias("text"))
+    other = F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("name") != "pe") & F.col("text").isNotNull(), F.struct("name", "text")))))
     return latest.groupBy("stream_id", "pe", "timestep").agg(*[F.max(F.when(F.col("name") == c, F.col("x"))).alias(c) for c in columns], other.alias("other"))

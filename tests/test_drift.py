@@ -56,3 +56,14 @@ def test_consistent_table_follows_chains_of_names(spark):
 def test_empty(spark):
     assert changes(files(spark)) == []
     assert D.consistent_table(files(spark)).count() == 0
+
+
+def test_consistent_table_keeps_what_a_double_cannot(spark):
+    values = {0: True, 1: [1.5, 2.5, 3.5], 2: {"ms": 4.5, "share": 0.25}, 3: "n/a", 4: "5.5 ms", 5: 6.5, 6: "7.5", 7: 2**53 + 1, 8: False, 9: None}
+    a = [{"pe": 0, "timestep": t, "abort": v} for t, v in values.items()]
+    b = [{"pe": 0, "timestep": 1, "abort": 9.5}, {"pe": 0, "timestep": 8, "abort": 8.5}]
+    rows = {r["timestep"]: (r["abort"], r["other"].get("abort")) for r in D.consistent_table(files(spark, [a, b])).collect()}
+    assert rows == {
+        0: (1.0, "true"), 1: (9.5, "[1.5,2.5,3.5]"), 2: (4.5, '{"ms":4.5,"share":0.25}'), 3: (None, "n/a"), 4: (5.5, "5.5 ms"),
+        5: (6.5, None), 6: (7.5, None), 7: (2.0**53, str(2**53 + 1)), 8: (8.5, "false"), 9: (None, None),
+    }
