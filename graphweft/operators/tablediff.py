@@ -127,7 +127,7 @@ def edge_rows(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     rows = named.groupBy("step", "vec_id").agg(F.max(F.when(F.col("code") == -1, F.col("uid"))).alias("uid"), F.collect_set(F.when(F.col("code") >= 0, F.col("target") * 4 + F.col("code"))).alias("pairs"))
     # two ids of one vertex in a copy: the union of their lists
     key = F.struct(F.col("step").cast("int").alias("step"), "uid", F.when(F.col("uid").isNull(), F.col("vec_id")).alias("alt"))
-    return rows.select(key.alias("k"), F.struct("pairs").alias("v")).groupBy("k").agg(F.max("v").alias("v"))
+    return rows.select(key.alias("k"), "pairs").groupBy("k").agg(F.struct(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")).alias("v"))
 
 
 def edges_rule(a: Column, b: Column) -> Column:

@@ -48,3 +48,9 @@ def test_many_copies(spark):
     got = T.compare_many(copies).select("left", "right").collect()
     assert sorted(map(tuple, got)) == [("p", "r"), ("q", "r")]
     assert [tuple(r) for r in T.compare_many(copies, "r").select("left", "right").orderBy("right").collect()] == [("r", "p"), ("r", "q")]
+
+
+def test_two_ids_of_one_vertex_unite_their_edges(spark):
+    va, vb = [(0, 1, [10.0]), (0, 2, [10.0]), (0, 3, [30.0]), (0, 4, [40.0])], [(0, 1, [10.0]), (0, 3, [30.0]), (0, 4, [40.0])]
+    ea, eb = [(0, 1, [("BI", 0, 3)]), (0, 2, [("BI", 0, 4)])], [(0, 1, [("BI", 0, 4), ("BI", 0, 3)])]
+    assert [x for x in found(spark, va, vb, ea, eb) if x[0] == "edge"] == []
