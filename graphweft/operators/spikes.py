@@ -30,7 +30,8 @@ LOG_ZERO = float(np.log(1e-6))
 class SpikeSettings:
     """``factor``: how many times too large or small a spike is. ``threshold``: standardised innovation above which an
     update is withheld. ``drift``: variance the level gains per record. ``noise``, ``least_noise``: first and least
-    observation variance; the largest is (ln factor / threshold)^2, so a spike is never within the noise. ``relevel``:
+    observation variance; the largest is (ln factor / threshold)^2, and an innovation of ln factor is withheld whatever the
+    variance of level and noise together, so a spike is never within the noise. ``relevel``:
     agreeing flagged readings in a row that make a new level. ``stuck``: equal readings in a row that are a fault."""
 
     factor: float = 5.0
@@ -64,7 +65,7 @@ def kalman_pass(y: np.ndarray, s: SpikeSettings) -> tuple[np.ndarray, np.ndarray
     p, r = np.full(n, 4 * s.noise), np.full(n, s.noise)
     run, run_level = np.zeros(n), np.zeros(n)
     forecast, rejected = np.full(y.shape, np.nan), np.zeros(y.shape, dtype=bool)
-    near = np.log(2.5)
+    near, far = np.log(2.5), np.log(s.factor) - 1e-9
     for t in range(steps):
         row = y[t]
         have = ~np.isnan(row)
@@ -72,7 +73,7 @@ def kalman_pass(y: np.ndarray, s: SpikeSettings) -> tuple[np.ndarray, np.ndarray
         forecast[t] = level
         innovation = np.where(have, row - level, 0.0)
         var = p + r
-        bad = have & (innovation * innovation > s.threshold * s.threshold * var)
+        bad = have & ((np.abs(innovation) > s.threshold * np.sqrt(var)) | (np.abs(innovation) >= far))
         rejected[t] = bad
         good = have & ~bad
         gain = np.where(good, p / var, 0.0)

@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from graphweft.operators import spikes as S
 
 SCHEMA = "record_id long, run_id int, pe int, timestep int, total double, edges double, neighbor_updates double, nneighbors int, rows string, received_at long"
@@ -61,3 +63,9 @@ def test_chunks_give_the_same(spark):
 def test_empty_and_null_keys(spark):
     assert found(spark, []) == set()
     assert found(spark, [record(None, 1), record(1, None), record(2, 3, run=None)]) == set()
+
+
+def test_a_spike_in_a_noisy_source_after_a_gap():
+    y = np.array([[0.27 * (-1) ** t if t < 40 or t >= 160 else math.nan] for t in range(200)])
+    y[100] = math.log(5.9)
+    assert np.flatnonzero(S.spikes_of(y, np.zeros(200, dtype=int), S.SpikeSettings())).tolist() == [100]
