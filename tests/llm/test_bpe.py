@@ -1,3 +1,6 @@
+import random
+import string
+
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -41,9 +44,34 @@ def test_random_texts(own, reference, texts):
     assert own.encode(pa.array(texts, pa.string())).to_pylist() == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_both_ways_of_contracting_agree(reference, monkeypatch):
-    monkeypatch.setattr(bpe, "SHORT_WORD", 2)
-    texts = ["aaaaaaaab", "hello", "mississippi", "=" * 37, "abababab" * 3]
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aehot日ー=-"), max_size=60), max_size=4))
+def test_windows_are_joined_exactly(own, reference, texts):
+    before, bpe.WINDOW = bpe.WINDOW, 6  # many words then take several windows, and many of those share no token
+    try:
+        got = own.encode(pa.array(texts, pa.string())).to_pylist()
+    finally:
+        bpe.WINDOW = before
+    assert got == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_one_word_of_a_megabyte(own, reference):
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(string.ascii_lowercase, k=1_000_000)), "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(333_333)), "a" * 1_000_000, "ha" * 500_000, "━" * 100_000]
+    for text in texts:
+        assert own.encode(pa.array([text])).to_pylist() == [reference.encode(text, add_special_tokens=False).ids]
+
+
+def test_every_code_point(own, reference):
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["a1 ".join(points[i : i + 500]) for i in range(0, len(points), 500)]
+    assert own.encode(pa.array(texts)).to_pylist() == [e.ids for e in reference.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_small_memory(reference, monkeypatch):
+    for bound in ("BATCH_BYTES", "LOOKUP_BYTES", "MERGE_BYTES", "KEPT_BYTES"):
+        monkeypatch.setattr(bpe, bound, 50)
+    texts = [f"a text of several words, number {i}, and one longword{'x' * i * 20}" for i in range(20)]
     assert bpe.RelationalBPE().encode(pa.array(texts)).to_pylist() == [reference.encode(t, add_special_tokens=False).ids for t in texts]
 
 
