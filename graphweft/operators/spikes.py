@@ -5,11 +5,14 @@ both directions, standardises every innovation with an observation variance that
 withholds the readings whose standardised innovation is above the threshold, and takes a new level over only after
 ``relevel`` flagged readings in a row agree with each other (a lasting change of level isn't a spike). A reading is
 reported as a spike if the forecasts from before and from after both reject it and both put it a factor of ``factor`` or
-more away. Stuck values are where the variance of the successive innovations of the raw reading vanishes.
-
-Sources are cut into chunks of ``chunk`` timesteps with a halo of ``halo`` timesteps on either side, so that a source
-with a third of all rows spreads over many tasks; repeated deliveries are dropped by partial aggregation before the
-shuffle. Inside a task the filter runs over many sources at once as numpy vectors, one step per position in the source.
+more away. Stuck values are where the innovation variance of a random-walk filter of the raw reading vanishes: over a
+window of innovations it is nil, and the readings of the window, compared exactly, are the same.
+
+Sources are cut into chunks of some ``chunk`` logged timesteps with a halo of at least ``halo`` logged timesteps on either
+side, so that a source with a third of all rows spreads over many tasks. Both are counted in timesteps that hold a record,
+however far apart they are: which of 64 neighbouring timesteps a source has is a bit mask, aggregated before its shuffle, and
+running sums of the masks' bits in two levels (4096 masks, then their sums) number them. Repeated deliveries are dropped
+when a chunk is gathered. Inside a task the filter runs over many chunks at once as numpy vectors, one step per position.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Stands for the logarithm of a reading of zero.
@@ -126,17 +129,28 @@ def spikes_of(log_values: np.ndarray, series: np.ndarray, s: SpikeSettings) -> n
 
 
 def stuck_of(values: np.ndarray, series: np.ndarray, least: int) -> np.ndarray:
-    """Which readings are one of ``least`` or more equal ones in a row: where the innovations of a forecast by the last
-    reading have no variance at all over the row. Null (NaN) readings end a row."""
+    """Which readings are one of ``least`` or more equal ones in a row. A random-walk filter without observation noise
+    forecasts each reading by the one before; where the variance of its last ``least`` - 1 innovations, relative to the
+    readings, vanishes, the readings of the window are stuck if they are exactly equal. Null (NaN) readings end a row."""
     out = np.zeros(values.shape, dtype=bool)
-    n = len(series)
-    if not n:
+    n, window = len(series), least - 1
+    if n < least:
         return out
+    inside = np.r_[False, series[1:] == series[:-1]]
     for f in range(values.shape[1]):
         x = values[:, f]
-        new = np.r_[True, (series[1:] != series[:-1]) | ~(x[1:] == x[:-1])]
-        run = np.cumsum(new) - 1
-        out[:, f] = np.bincount(run)[run] >= least
+        before = np.r_[np.nan, x[:-1]]
+        with np.errstate(all="ignore"):
+            innovation = np.where(x == before, 0.0, (x - before) / np.maximum(np.abs(x), np.abs(before)))
+        innovation[~inside | np.isnan(innovation)] = np.inf
+        variance = np.lib.stride_tricks.sliding_window_view(np.square(innovation), window).mean(axis=1)
+        ends = np.flatnonzero(variance < 1e-20) + window - 1
+        same = np.cumsum(np.r_[0, inside & (x == before)])
+        ends = ends[same[ends + 1] - same[ends + 1 - window] == window]
+        marks = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(marks, ends - window, 1)
+        np.add.at(marks, ends + 1, -1)
+        out[:, f] = np.cumsum(marks)[:-1] > 0
     return out
 
 
@@ -172,23 +186,42 @@ def _judge(batch: pa.RecordBatch, fields: Sequence[str], total: str, idle: str,
     return pa.record_batch([pa.array(record[row], pa.int64()), pa.array(np.array(fields, dtype=object)[col], pa.string())], names=["record_id", "field"])
 
 
+def _chunks(placed: DataFrame, source: Sequence[str], s: SpikeSettings) -> DataFrame:
+    """source..., bucket, at: the chunks that the 64 timesteps of a bucket go to, and whether they are of the chunk's core
+    or its halo. A bucket is whole in one core; it is in the halo of the chunk before (after) if fewer than ``halo`` logged
+    timesteps lie between."""
+    mask = F.bit_or(F.expr("shiftleft(1L, timestep & 63)"))
+    buckets = placed.groupBy(*source, "bucket").agg(F.bit_count(mask).alias("n")).withColumn("block", F.shiftright("bucket", 12))
+    earlier = Window.partitionBy(*source).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = buckets.groupBy(*source, "block").agg(F.sum("n").alias("all")).select(*source, "block", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy(*source, "block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ended = buckets.join(blocks, [*source, "block"]).withColumn("end", F.col("base") + F.sum("n").over(within)).withColumn("begin", F.col("end") - F.col("n"))
+    whole = Window.partitionBy(*source, "chunk")
+    numbered = ended.withColumn("chunk", F.floor(F.col("begin") / s.chunk)).withColumn("first", F.min("begin").over(whole)).withColumn("last", F.max("end").over(whole))
+    to = lambda step, core: F.struct((F.col("chunk") + step).alias("chunk"), F.lit(core).alias("core"))
+    spread = F.array_compact(F.array(to(0, True), F.when(F.col("begin") < F.col("first") + s.halo, to(-1, False)), F.when(F.col("end") > F.col("last") - s.halo, to(1, False))))
+    return numbered.select(*source, "bucket", spread.alias("spread"))
+
+
 def find_spikes(readings: DataFrame, fields: Sequence[str] = ("total", "edges", "neighbor_updates"), source: Sequence[str] = ("run_id", "pe"), total: str = "total", idle: str = "nneighbors", settings: SpikeSettings = SpikeSettings()) -> DataFrame:
     """The readings of ``fields`` that can't be right: (record_id, field), one row each.
 
     A reading is one if it is negative, infinite or NaN; if it is greater than a sound ``total`` of its record; if it is a
     spike; or if it is stuck. The last two don't apply to fields other than ``total`` while ``idle`` is 0. Defined cases:
-    a null reading is never one and ends a row of stuck values; records delivered again are judged once; records without a
-    record_id, source or timestep belong to no series and are left out; an empty table gives no rows.
+    a null reading is never one and ends a row of stuck values; records delivered again are judged once; records without
+    source or timestep belong to no series and are judged by the first two rules alone; those without a record_id can't be
+    named and are left out; an empty table gives no rows. ``settings.chunk`` is at least 64, ``halo`` at least ``stuck``.
     """
-    chunk = F.floor(F.col("timestep") / settings.chunk).cast("int")
-    pos = F.pmod(F.col("timestep"), F.lit(settings.chunk))
-    spread = F.array_compact(F.array(F.struct(chunk.alias("chunk"), F.lit(True).alias("core")), F.when(pos < settings.halo, F.struct((chunk - 1).alias("chunk"), F.lit(False).alias("core"))), F.when(pos >= settings.chunk - settings.halo, F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("core")))))
-    usable = readings.where(F.col("record_id").isNotNull() & F.col("timestep").isNotNull())
+    if settings.chunk < 64 or settings.halo < settings.stuck:
+        raise ValueError("chunk is at least 64, halo at least the length of a stuck row")
+    kept = readings.where(F.col("record_id").isNotNull()).select(*source, "timestep", "record_id", *[F.col(f).cast("double").alias(f) for f in fields], idle)
+    has_place = F.col("timestep").isNotNull()
     for c in source:
-        usable = usable.where(F.col(c).isNotNull())
-    kept = usable.select(*source, "timestep", "record_id", *[F.col(f).cast("double").alias(f) for f in fields], idle, F.explode(spread).alias("at"))
+        has_place &= F.col(c).isNotNull()
+    placed = kept.where(has_place).withColumn("bucket", F.shiftright("timestep", 6))
+    at = placed.join(_chunks(placed, source, settings), [*source, "bucket"]).withColumn("at", F.explode("spread"))
     rows = F.struct("timestep", "record_id", *fields, idle, F.col("at.core").alias("core"))
-    series = kept.groupBy(*source, F.col("at.chunk").alias("chunk")).agg(F.collect_set(rows).alias("rows")).select("rows")
+    series = at.groupBy(*source, F.col("at.chunk").alias("chunk")).agg(F.collect_set(rows).alias("rows")).select("rows")
     names = list(fields)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,4 +229,8 @@ def find_spikes(readings: DataFrame, fields: Sequence[str] = ("total", "edges",
             for i in range(0, b.num_rows, 1000):
                 yield _judge(b.slice(i, 1000), names, total, idle, settings)
 
-    return series.mapInArrow(judge, "record_id long, field string")
+    unsound = lambda c: F.isnan(c) | (F.abs(c) == float("inf")) | (c < 0)
+    beyond = lambda f: F.col(f) > F.when(~unsound(F.col(total)), F.col(total)) if total in names and f != total else F.lit(False)
+    cases = F.array_compact(F.array(*[F.when(unsound(F.col(f)) | F.coalesce(beyond(f), F.lit(False)), F.lit(f)) for f in names]))
+    alone = kept.where(~has_place).select("record_id", F.explode(cases).alias("field"))
+    return series.mapInArrow(judge, "record_id long, field string").unionByName(alone).distinct()

@@ -65,6 +65,29 @@ def test_empty_and_null_keys(spark):
     assert found(spark, [record(None, 1), record(1, None), record(2, 3, run=None)]) == set()
 
 
+def test_records_without_a_place_are_judged_by_themselves(spark):
+    rows = [record(1, None, total=-5.0), record(2, 3, run=None, edges=math.inf), record(3, None, total=4.0, edges=9.0), record(4, None, total=None), record(None, None, total=-1.0), record(5, None, total=math.nan, edges=1.0)]
+    assert found(spark, rows + rows) == {(1, "total"), (2, "edges"), (3, "edges"), (3, "neighbor_updates"), (5, "total")}
+
+
+def test_sparse_timesteps_give_the_same_in_chunks_of_any_size(spark):
+    rows = [record(t, 100 * t, *[x * (1 + 0.01 * ((t * 7919) % 13)) for x in (100.0, 10.0, 5.0)]) for t in range(-300, 1100)]
+    stuck = range(1018, 1025)
+    for t in stuck:
+        rows[t + 300] = record(t, 100 * t, total=101.5)
+    change(rows, 363, total=900.0)
+    want = {(t, "total") for t in stuck} | {(t, f) for t in stuck for f in ("edges", "neighbor_updates")} | {(63, "total")}
+    for chunk in (64, 1024, 100_000):
+        assert found(spark, rows, chunk=chunk) == want
+
+
+def test_stuck_values_by_innovation_variance():
+    x = np.array([[1.0], [1.0], [1.0], [1.0], [1.0], [1.0], [2.0], [3.0], [3.0], [3.0], [3.0], [3.0], [3.0 + 1e-12], [1e-200], [2e-200], [3e-200], [4e-200], [5e-200], [6e-200]])
+    one = np.zeros(len(x), dtype=int)
+    assert np.flatnonzero(S.stuck_of(x, one, 6)).tolist() == [0, 1, 2, 3, 4, 5]
+    assert not S.stuck_of(x, np.arange(len(x)) // 4, 6).any() and not S.stuck_of(x[:3], one[:3], 6).any()
+
+
 def test_a_spike_in_a_noisy_source_after_a_gap():
     y = np.array([[0.27 * (-1) ** t if t < 40 or t >= 160 else math.nan] for t in range(200)])
     y[100] = math.log(5.9)
