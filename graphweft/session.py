@@ -25,13 +25,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return have.get()
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="graphweft-checkpoint-")
     sc.setCheckpointDir(named)
     return named
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for costly work on each row where it lies: as it is if it has a split for every core, else dealt out evenly.
+    Files of many splits, as any large table has, are never shuffled for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the checkpoint folder, so that a loop's plan stays small and a lost executor
     costs no recomputation of earlier supersteps."""
