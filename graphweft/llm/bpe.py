@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from graphweft.session import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of texts split at once, of windows looked up at once, of new windows merged at once, and of words a worker keeps with
 #: their ids; they bound memory, texts are never cut.
@@ -268,7 +270,7 @@ def _worker(vocabulary: str) -> RelationalBPE:
 def encode_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """key and ``ids``, the text's token ids without special tokens. Empty and null texts have no tokens: an empty list.
     Strings of special tokens in a text are ordinary text. ``vocabulary`` is a path that every executor can read."""
-    kept = documents.select(key, text)
+    kept = spread(documents.select(key, text))
     kind = kept.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

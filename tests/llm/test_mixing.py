@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from graphweft.llm import mixing as M
 
 TARGETS = "source string, target_weight double, max_repeats int"
@@ -61,3 +63,35 @@ def test_odd_inputs(spark):
     assert [r["copies"] for r in M.mix(docs, none).collect()] == [0, 0]
     assert M.mix(docs.limit(0), spark.createDataFrame([("a", 1.0, 2), ("a", None, None), ("b", float("nan"), 1)], TARGETS)).count() == 0
     assert M.shares(M.mix(docs, none), none).count() == 1
+
+
+def test_many_equal_domains_are_mixed_and_untargeted_ones_are_not(spark):
+    # twelve domains with words of their own, and a text of none of them
+    rows = [(i, f"w{i % 12} v{i % 12}", f"d{i % 12}") for i in range(240)] + [(1000 + i, "nothing of that", None) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = M.mix(docs, spark.createDataFrame([(f"d{i}", 1.0, 2) for i in range(12)], TARGETS)).collect()
+    assert all(r["rate"] > 0 for r in mixed if r["source"] is None)
+    assert abs(sum(r["copies"] * r["tokens"] for r in mixed) - sum(r["tokens"] for r in mixed)) <= 12 * 5
+    assert {round(r["target_tokens"], 6) for r in mixed if r["source"] == "d1"} == {round(sum(r["tokens"] for r in mixed) / 12, 6)}
+    only = M.mix(docs, spark.createDataFrame([("nowhere", 1.0, 2)], TARGETS)).collect()
+    assert len(only) == 270 and all(r["copies"] == 0 for r in only)
+
+
+def test_training_sample_keeps_rare_sources():
+    counts = {"big": 1_000_000, "mid": 5_000, "rare": 3}
+    shares = M._sample_shares(counts, 20_000)
+    assert shares["rare"] == 1.0 and shares["mid"] == 1.0 and round(shares["big"] * counts["big"]) == 20_000 - 5_003
+    assert M._sample_shares({f"s{i}": 100 for i in range(1000)}, 20)["s1"] == 0.2
+
+
+def test_rates_meet_feasible_targets(spark):
+    rnd = random.Random(2)
+    rows = [([a, b, 1 - a - b], 3.0, rnd.randint(1, 50)) for a, b in ((rnd.uniform(0, 0.5), rnd.uniform(0, 0.5)) for _ in range(300))]
+    soft = spark.createDataFrame(rows, "p array<double>, cap double, tokens long")
+    unsure = np.array([sum(r[0][i] * r[2] for r in rows) for i in range(3)])
+    sure, caps = np.array([4000.0, 2000.0, 0.0]), np.array([3.0, 3.0, 3.0])
+    goals = np.array([5000.0, 6000.0, 3000.0])
+    pull = M.fit_rates(soft, sure, unsure, caps, goals)
+    rate = [min(3.0, max(0.0, 1 - sum(p * g for p, g in zip(r[0], pull)))) for r in rows]
+    total = sure * np.clip(1 - np.array(pull), 0, caps) + [sum(x * r[0][i] * r[2] for x, r in zip(rate, rows)) for i in range(3)]
+    assert np.abs(total - goals).max() <= 0.01 * goals.sum()
