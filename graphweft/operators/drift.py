@@ -6,9 +6,11 @@ match scores start from names, types and the values that both files hold for the
 pairs until they settle, and a consistent one-to-one set of correspondences is selected. A correspondence between a field
 gone and a new one must also hold its exact check: the same numbers in the records of both files.
 
-Sizes: JSON is taken apart where it is read; only fields gone or new keep their values for the comparison; file order comes
-from windows over slices of time, so that a stream with a third of all files isn't one task; what reaches Python is one row
-of field names per file.
+Sizes: JSON is taken apart where it is read, and no payload is shuffled. For the profiles a row travels as the hashes of its
+payload and the types of its fields, placed once by file and span of lines, which serves both the dropping of repeated rows
+and the votes; for the comparison as the numbers of fields gone or new, an array per record. File order comes from windows
+over slices of time, so that a stream with a third of all files isn't one task; what reaches Python is one row per file and
+layout of fields.
 """
 
 from __future__ import annotations
@@ -31,30 +33,79 @@ _BARE_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 _FIRST_NUMBER = r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
 
 
-def explode_fields(files: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """stream_id, file_no, opened_at, pe, timestep, field, type, shape, text: one row per field of each object.
-
-    ``names`` (stream_id, file_no, names: a map of field to name, one row a file) adds the column name and leaves out files
-    without a row. Rows repeated unchanged count once; a payload that isn't a JSON object (null, broken, a list) has no fields."""
-    once = files.select("stream_id", "file_no", "opened_at", "line_no", "payload").dropDuplicates(["stream_id", "file_no", "line_no", "payload"])
-    named = once.withColumn("names", F.lit(None).cast("map<string,string>")) if names is None else once.join(names, ["stream_id", "file_no"])
-    parsed = named.select("stream_id", "file_no", "opened_at", "names", F.try_parse_json("payload").alias("doc")).where(F.schema_of_variant("doc").startswith("OBJECT"))
-    flat = files.sparkSession.sql(
-        """SELECT stream_id, file_no, opened_at, try_variant_get(doc, '$.pe', 'bigint') AS pe, try_variant_get(doc, '$.timestep', 'bigint') AS timestep,
-                  e.key AS field, names[e.key] AS name, schema_of_variant(e.value) AS shape, try_variant_get(e.value, '$', 'string') AS text
-           FROM {parsed}, LATERAL variant_explode(doc) e""",
-        parsed=parsed,
-    )
-    whole = F.regexp_extract("shape", r"^DECIMAL\((\d+),0\)$", 1)
-    shape = F.col("shape")
-    kind = (
+def _documents(files: DataFrame, *extra: str) -> DataFrame:
+    """stream_id, file_no, opened_at, line_no, extra..., doc: rows whose payload is a JSON object; others (null, broken, a
+    list) have no fields."""
+    rows = files.select("stream_id", "file_no", "opened_at", "line_no", "payload", *extra)
+    return rows.withColumn("doc", F.try_parse_json("payload")).where(F.schema_of_variant("doc").startswith("OBJECT"))
+
+
+def kind_of(shape: F.Column) -> F.Column:
+    """The JSON type of a value by its variant type; null for null."""
+    whole = F.regexp_extract(shape, r"^DECIMAL\((\d+),0\)$", 1)
+    return (
         F.when(shape == "BIGINT", "integer")
         .when(shape.startswith("DECIMAL"), F.when(whole.try_cast("int") > 18, "integer").otherwise("double"))
         .when(shape.isin("DOUBLE", "FLOAT"), "double").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
         .when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object")
     )
-    out = flat.withColumn("type", kind).withColumn("shape", F.when(F.col("type") == "object", F.col("shape")))
-    return out if names is not None else out.drop("name")
+
+
+#: JSON types by the names they have in a layout.
+_KINDS = {"BIGINT": "integer", "DOUBLE": "double", "FLOAT": "double", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object"}
+_TYPE_NAME = re.compile(r"[A-Z_]+(?:\(\d+,\d+\))?")
+
+
+def read_layout(layout: str) -> list[tuple[str, str | None, str | None]]:
+    """(field, type, layout of what nests in it) of an object's layout as a variant's type is written."""
+
+    def kind(at: int) -> tuple[str, int]:
+        m = _TYPE_NAME.match(layout, at)
+        name, at = m.group(), m.end()
+        if at < len(layout) and layout[at] == "<":
+            at = members(at)[1] if name == "OBJECT" else kind(at + 1)[1] + 1
+        return name, at
+
+    def members(at: int) -> tuple[list[tuple[str, str, int, int]], int]:
+        out, at = [], at + 1
+        while layout[at] != ">":
+            if layout[at] == "`":
+                end = at + 1
+                while layout[end] != "`" or layout[end + 1 : end + 2] == "`":
+                    end += 2 if layout[end] == "`" else 1
+                field, at = layout[at + 1 : end].replace("``", "`"), end + 1
+            else:
+                end = layout.index(":", at)
+                field, at = layout[at:end], end
+            begin = at + 2
+            name, at = kind(begin)
+            out.append((field, name, begin, at))
+            if layout[at] == ",":
+                at += 2
+        return out, at + 1
+
+    found = members(layout.index("<"))[0] if "<" in layout else []
+    return [(f, _KINDS.get(k), layout[i:j] if k == "OBJECT" else None) for f, k, i, j in found]
+
+
+def _count_fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(stream, file_no, opened, f, kind, shape, n) for stream, file_no, opened, layout, n in pdf.itertuples(index=False) for f, kind, shape in read_layout(layout)]
+        yield pd.DataFrame(rows, columns=["stream_id", "file_no", "opened_at", "field", "type", "shape", "n"])
+
+
+def count_fields(files: DataFrame) -> DataFrame:
+    """stream_id, file_no, opened_at, field, type, shape, n: how many values of each type a field has in a file. Rows repeated
+    unchanged count once."""
+    layout = F.schema_of_variant("doc")
+    layout = F.regexp_replace(layout, r"(?<=: |ARRAY<)DECIMAL\((?:19|[23][0-9]),0\)(?=[,>])", "BIGINT")
+    layout = F.regexp_replace(layout, r"(?<=: |ARRAY<)DECIMAL\([0-9]+,[0-9]+\)(?=[,>])", "DOUBLE")
+    docs = _documents(files).select("stream_id", "file_no", "opened_at", "line_no", F.xxhash64("payload").alias("h1"), F.xxhash64(F.lit(1), F.reverse("payload")).alias("h2"), layout.alias("layout"))
+    placed = docs.repartition("stream_id", "file_no", F.floor(F.col("line_no") / 4096))
+    once = placed.dropDuplicates(["stream_id", "file_no", "line_no", "h1", "h2"])
+    counted = once.groupBy("stream_id", "file_no", "opened_at", "layout").agg(F.count("*").alias("n")).select("stream_id", "file_no", "opened_at", "layout", "n")
+    opened = files.schema["opened_at"].dataType.simpleString()
+    return counted.mapInPandas(_count_fields, f"stream_id int, file_no int, opened_at {opened}, field string, type string, shape string, n long")
 
 
 def carried_number(kind: F.Column, text: F.Column) -> F.Column:
@@ -64,9 +115,9 @@ def carried_number(kind: F.Column, text: F.Column) -> F.Column:
     return F.when(nested, F.regexp_extract(text, _FIRST_NUMBER, 1)).when(kind != "boolean", F.regexp_extract(text, _NUMBER, 1)).try_cast("double")
 
 
-def profile_files(fields: DataFrame) -> DataFrame:
+def profile_files(counts: DataFrame) -> DataFrame:
     """stream_id, file_no, opened_at, field, type (of most non-null values; ties by name; null if all are null), shape."""
-    by_type = fields.groupBy("stream_id", "file_no", "field", "type").agg(F.count("*").alias("n"), F.max("opened_at").alias("opened_at"), F.max("shape").alias("shape"))
+    by_type = counts.groupBy("stream_id", "file_no", "field", "type").agg(F.sum("n").alias("n"), F.max("opened_at").alias("opened_at"), F.max("shape").alias("shape"))
     best = F.max(F.when(F.col("type").isNotNull(), F.struct("n", "type")))
     return by_type.groupBy("stream_id", "file_no", "field").agg(F.max("opened_at").alias("opened_at"), best["type"].alias("type"), F.max("shape").alias("shape"))
 
@@ -101,21 +152,23 @@ def _file_pairs(profile: DataFrame, order: DataFrame) -> DataFrame:
 def _agreements(files: DataFrame, pairs: DataFrame) -> DataFrame:
     """stream_id, file_no, agree: per pair of files the array of (gone, new, both, same) over the records both files hold.
 
-    Only files of pairs that have both gone and new fields are taken apart again, and only those fields' values kept."""
+    Only files of pairs that have both gone and new fields are taken apart again, and only those fields' numbers kept."""
     names = lambda old, new: F.transform(F.filter("fields", lambda x: (x["in_prev"] == F.lit(old)) & (x["in_cur"] == F.lit(new))), lambda x: x["field"])
     open_pairs = pairs.select("stream_id", "prev_file", "file_no", names(True, False).alias("gone"), names(False, True).alias("new")).where("size(gone) > 0 and size(new) > 0")
-    wanted = open_pairs.select("stream_id", F.col("prev_file").alias("in_file"), F.col("file_no").alias("pair"), F.explode("gone").alias("field"), F.lit(True).alias("old")).unionByName(
-        open_pairs.select("stream_id", F.col("file_no").alias("in_file"), F.col("file_no").alias("pair"), F.explode("new").alias("field"), F.lit(False).alias("old"))
-    )
-    again = files.join(wanted.select("stream_id", F.col("in_file").alias("file_no")).distinct(), ["stream_id", "file_no"], "left_semi")
-    values = explode_fields(again).select("stream_id", F.col("file_no").alias("in_file"), "pe", "timestep", "field", "type", "text").where("pe is not null and timestep is not null")
-    kept = values.join(wanted, ["stream_id", "in_file", "field"]).withColumn("x", carried_number(F.col("type"), F.col("text"))).where("x is not null")
-    of = lambda old: F.collect_set(F.when(F.col("old") == F.lit(old), F.struct("field", "x")))
-    records = kept.groupBy("stream_id", "pair", "pe", "timestep").agg(of(True).alias("gone"), of(False).alias("new")).where("size(gone) > 0 and size(new) > 0")
+    asks = lambda file, names, old: open_pairs.select("stream_id", F.col(file).alias("file_no"), F.struct(F.col("file_no").alias("pair"), F.lit(old).alias("old"), F.col(names).alias("names")).alias("ask"))
+    per_file = asks("prev_file", "gone", True).unionByName(asks("file_no", "new", False)).groupBy("stream_id", "file_no").agg(F.collect_list("ask").alias("asks"))
+    docs = _documents(files.join(per_file, ["stream_id", "file_no"]), "asks").select("stream_id", "asks", F.try_variant_get("doc", "$.pe", "bigint").alias("pe"), F.try_variant_get("doc", "$.timestep", "bigint").alias("timestep"), F.expr("try_variant_get(doc, '$', 'map<string,variant>')").alias("values"))
+    number = lambda v: carried_number(kind_of(F.schema_of_variant(v)), F.try_variant_get(v, "$", "string"))
+    numbers = lambda ask: F.filter(F.transform(ask["names"], lambda n, i: F.struct(i.alias("i"), number(F.col("values")[n]).alias("x"))), lambda e: e["x"].isNotNull())
+    read = docs.where("pe is not null and timestep is not null").select("stream_id", "pe", "timestep", F.explode("asks").alias("ask"), "values").select("stream_id", F.col("ask.pair").alias("pair"), "pe", "timestep", F.col("ask.old").alias("old"), numbers(F.col("ask")).alias("found")).where("size(found) > 0")
+    of = lambda old: F.array_distinct(F.flatten(F.collect_set(F.when(F.col("old") == F.lit(old), F.col("found")))))
+    records = read.groupBy("stream_id", "pair", "pe", "timestep").agg(of(True).alias("gone"), of(False).alias("new")).where("size(gone) > 0 and size(new) > 0")
     crossed = records.select("stream_id", "pair", F.explode("gone").alias("g"), "new").select("stream_id", "pair", "g", F.explode("new").alias("n"))
     close = F.abs(F.col("g.x") - F.col("n.x")) <= F.lit(1e-9) * F.greatest(F.abs("g.x"), F.abs("n.x"), F.lit(1e-3))
-    counted = crossed.groupBy("stream_id", "pair", F.col("g.field").alias("gone"), F.col("n.field").alias("new")).agg(F.count("*").alias("both"), F.count_if((F.col("g.x") == F.col("n.x")) | close).alias("same"))
-    return counted.groupBy("stream_id", F.col("pair").alias("file_no")).agg(F.collect_list(F.struct("gone", "new", "both", "same")).alias("agree"))
+    counted = crossed.groupBy("stream_id", F.col("pair").alias("file_no"), F.col("g.i").alias("g"), F.col("n.i").alias("n")).agg(F.count("*").alias("both"), F.count_if((F.col("g.x") == F.col("n.x")) | close).alias("same"))
+    # fields travel as their places in the lists of their pair
+    named = counted.join(open_pairs.select("stream_id", "file_no", F.col("gone").alias("olds"), F.col("new").alias("news")), ["stream_id", "file_no"])
+    return named.groupBy("stream_id", "file_no").agg(F.collect_list(F.struct(F.get("olds", "g").alias("gone"), F.get("news", "n").alias("new"), "both", "same")).alias("agree"))
 
 
 def name_similarity(a: str, b: str) -> float:
@@ -247,7 +300,7 @@ def schema_changes(files: DataFrame) -> DataFrame:
     no changes; files opened at the same time are ordered by file_no; a field whose values are all null has no type and
     changes none; files without any readable object don't take part; an empty table gives no rows.
     """
-    profile = cut(profile_files(explode_fields(files)))
+    profile = cut(profile_files(count_fields(files)))
     return _changes(files, profile, file_order(profile)).drop("prev_file")
 
 
@@ -284,30 +337,60 @@ def canonical_names(profile: DataFrame, order: DataFrame, changes: DataFrame) ->
     return now.join(links, ["stream_id", "child"], "left").select("stream_id", "file_no", "field", F.coalesce("parent.f", "field").alias("name"))
 
 
-#: The columns of the consistent table: fields whose first name is one of these; others stay in ``other``.
-COLUMNS = ("total", "metadata", "summary", "edges", "getmem", "update_edges", "neighbor_updates", "abort", "nspins", "nneighbors")
+#: Names that become columns of the consistent table, at most; were there more, those of the fewest files would stay in
+#: ``other``.
+MOST_COLUMNS = 500
+
+
+def column_types(profile: DataFrame, names: DataFrame, most: int = MOST_COLUMNS) -> dict[str, str]:
+    """Each name with the type its fields had: bigint, double, boolean or string, numbers before other types."""
+    joined = profile.join(names, ["stream_id", "file_no", "field"]).where("field not in ('pe', 'timestep') and type is not null")
+    kinds = joined.groupBy("name").agg(F.collect_set("type").alias("types"), F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(most).collect()
+
+    def one(types: set[str]) -> str:
+        if types & {"integer", "double"}:
+            return "bigint" if types == {"integer"} else "double"
+        return "boolean" if types == {"boolean"} else "string"
+
+    return {r["name"]: one(set(r["types"])) for r in sorted(kinds)}
 
 
-def consistent_table(files: DataFrame, columns: Sequence[str] = COLUMNS) -> DataFrame:
-    """All records of all files in one table: stream_id, pe, timestep, one double per column, and a map of other fields.
+def consistent_table(files: DataFrame, most_columns: int = MOST_COLUMNS) -> DataFrame:
+    """All records of all files in one table: stream_id, pe, timestep, one typed column per field, and a map of the rest.
 
-    Each field stands under the first name it had in its stream. A record that several files hold comes once, each value
-    from the latest file that has one. A column has the latest number; where there is none, the latest boolean as 0 or 1.
-    The map keeps texts as they are: of other fields the latest, of columns the latest value of those that the column can't
-    carry whole (booleans, lists, objects, stray texts, numbers with a unit, whole numbers that a double would round).
-    Names in a map that differ only by spelling stay apart."""
-    profile = cut(profile_files(explode_fields(files)))
+    Each field stands under the first name it had in its stream. A column is bigint if its fields were integers in every file,
+    double if they were numbers in any, boolean or string otherwise. A record that several files hold comes once, each value
+    from the latest file that has one. A numeric column has the latest number; where there is none, the latest boolean as 0
+    or 1. ``other`` keeps the latest text that its column can't carry whole (booleans, lists, objects, stray texts and
+    numbers with a unit in numeric columns, whole numbers that a double would round), and is empty without one. Names that
+    differ only by spelling, and columns that would clash with stream_id, pe, timestep or other regardless of case, stay
+    apart there too: of such names the first in order is the column, the rest are kept in ``other``."""
+    profile = cut(profile_files(count_fields(files)))
     order = cut(file_order(profile))
     changes = cut(_changes(files, profile, order))
-    names = canonical_names(profile, order, changes).groupBy("stream_id", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
-    kind, text = F.col("type"), F.col("text")
-    value = carried_number(kind, text)
-    whole = F.when(kind == "string", text.rlike(_BARE_NUMBER)).when(kind == "integer", F.abs(value) < 2**53).otherwise(kind == "double")
-    kept = F.when(~F.col("name").isin(*columns) | value.isNull() | ~F.coalesce(whole, F.lit(False)), text)
+    named = cut(canonical_names(profile, order, changes))
+    types, taken = {}, {"stream_id", "pe", "timestep", "other"}
+    for name, kind in column_types(profile, named, most_columns).items():
+        if name.lower() not in taken:
+            types[name] = kind
+            taken.add(name.lower())
+    names = named.groupBy("stream_id", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
+    docs = _documents(files.join(names, ["stream_id", "file_no"]), "names").select("stream_id", "names", F.struct("opened_at", "file_no").alias("at"), F.try_variant_get("doc", "$.pe", "bigint").alias("pe"), F.try_variant_get("doc", "$.timestep", "bigint").alias("timestep"), F.expr("try_variant_get(doc, '$', 'map<string,variant>')").alias("values"))
+    entry = lambda e: F.struct(F.col("names")[e["key"]].alias("name"), kind_of(F.schema_of_variant(e["value"])).alias("kind"), F.try_variant_get(e["value"], "$", "string").alias("text"))
+    entries = F.transform(F.filter(F.map_entries("values"), lambda e: ~e["key"].isin("pe", "timestep")), entry)
+    # whole records travel, to where both aggregations find them together
+    records = docs.where("pe is not null and timestep is not null").select("stream_id", "pe", "timestep", "at", entries.alias("entries")).repartition("stream_id", "pe", "timestep")
+    values = records.select("stream_id", "pe", "timestep", "at", F.explode_outer("entries").alias("e")).select("stream_id", "pe", "timestep", "at", "e.name", "e.kind", "e.text")
+    column = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])[F.col("name")] if types else F.lit(None).cast("string")
+    kind, text = F.col("kind"), F.col("text")
+    number = carried_number(kind, text)
+    x = F.when(column == "double", number).when((column == "bigint") & (number == F.floor(number)) & (F.abs(number) < 2**53), number)
+    numeric = F.when(kind == "string", text.rlike(_BARE_NUMBER)).when(kind == "integer", F.abs(number) < 2**53).otherwise(kind == "double")
+    carried = F.when(column == "string", True).when(column == "boolean", kind == "boolean").otherwise(x.isNotNull() & numeric)
     flag = F.when(kind == "boolean", (text == "true").cast("double"))
-    named = explode_fields(files, names).where("field <> 'timestep' and pe is not null and timestep is not null").select("stream_id", "pe", "timestep", "name", F.struct("opened_at", "file_no").alias("at"), value.alias("x"), flag.alias("flag"), kept.alias("text"))
-    named = named.repartition("stream_id", "pe", "timestep")  # serves both aggregations; few values come twice
+    read = values.withColumn("x", x).withColumn("flag", flag).withColumn("left", F.when(~F.coalesce(carried, F.lit(False)), text))
     last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("at", c)))[c]
-    latest = named.groupBy("stream_id", "pe", "timestep", "name").agg(F.coalesce(last("x"), last("flag")).alias("x"), last("text").alias("text"))
-    other = F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("name") != "pe") & F.col("text").isNotNull(), F.struct("name", "text")))))
-    return latest.groupBy("stream_id", "pe", "timestep").agg(*[F.max(F.when(F.col("name") == c, F.col("x"))).alias(c) for c in columns], other.alias("other"))
+    latest = read.groupBy("stream_id", "pe", "timestep", "name").agg(last("x").alias("x"), last("flag").alias("flag"), last("text").alias("text"), last("left").alias("left"))
+    other = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("left").isNotNull(), F.struct("name", "left")))))
+    of_type = {"double": F.coalesce("x", "flag"), "bigint": F.coalesce("x", "flag").cast("bigint"), "boolean": F.col("flag") == 1, "string": F.col("text")}
+    return latest.groupBy("stream_id", "pe", "timestep").agg(*[F.max(F.when(F.col("name") == n, of_type[t])).alias(n) for n, t in types.items()], other.alias("other"))

@@ -50,7 +50,7 @@ def test_consistent_table_follows_chains_of_names(spark):
     every = D.consistent_table(files(spark, [a, b, c])).collect()
     rows = {r["timestep"]: r for r in every if r["pe"] == 0}
     assert [(r["edges"], r["other"]) for r in every if r["pe"] == 5] == [(None, {})]
-    assert len(rows) == 12 and all(rows[t]["edges"] == float(t) for t in range(12)) and rows[11]["other"] == {"hits": "11"} and rows[0]["other"] == {}
+    assert len(rows) == 12 and all(rows[t]["edges"] == float(t) for t in range(12)) and rows[11]["hits"] == 11 and rows[0]["hits"] is None and all(r["other"] == {} for r in every)
 
 
 def test_empty(spark):
@@ -67,3 +67,21 @@ def test_consistent_table_keeps_what_a_double_cannot(spark):
         0: (1.0, "true"), 1: (9.5, "[1.5,2.5,3.5]"), 2: (4.5, '{"ms":4.5,"share":0.25}'), 3: (None, "n/a"), 4: (5.5, "5.5 ms"),
         5: (6.5, None), 6: (7.5, None), 7: (2.0**53, str(2**53 + 1)), 8: (8.5, "false"), 9: (None, None),
     }
+
+
+def test_columns_have_the_types_of_their_fields(spark):
+    a = [{"pe": 0, "timestep": t, "hits": t, "ok": t % 2 == 0, "note": f"n{t}", "odd `name`: a,b<c>": t + 0.5, "PE": t, "Note": 1.5, "other": 7, "seq": [1, {"y": t}]} for t in range(4)]
+    a[2]["hits"] = 2.5
+    df = D.consistent_table(files(spark, [a]))
+    # of Note and note the first in order is the column
+    assert dict(df.dtypes) == {"stream_id": "int", "pe": "bigint", "timestep": "bigint", "Note": "double", "hits": "bigint", "odd `name`: a,b<c>": "double", "ok": "boolean", "seq": "string", "other": "map<string,string>"}
+    rows = {r["timestep"]: r for r in df.collect()}
+    assert [rows[1][c] for c in ("hits", "ok", "odd `name`: a,b<c>", "Note", "seq")] == [1, False, 1.5, 1.5, '[1,{"y":1}]']
+    assert rows[1]["other"] == {"PE": "1", "other": "7", "note": "n1"} and rows[2]["hits"] is None and rows[2]["other"]["hits"] == "2.5"
+
+
+def test_layouts_are_read():
+    nested = "OBJECT<m: VOID, n: OBJECT<o: DECIMAL(5,2)>>"
+    layout = f"OBJECT<``: OBJECT<>, a: BIGINT, `b ``c``: d`: DOUBLE, e: ARRAY<OBJECT<x: STRING>>, f: {nested}, g: VOID, h: BOOLEAN, `i<j>`: ARRAY<VARIANT>>"
+    assert D.read_layout(layout) == [("", "object", "OBJECT<>"), ("a", "integer", None), ("b `c`: d", "double", None), ("e", "array", None), ("f", "object", nested), ("g", None, None), ("h", "boolean", None), ("i<j>", "array", None)]
+    assert D.read_layout("OBJECT<>") == []
