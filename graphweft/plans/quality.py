@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphweft.operators import drift, spikes, tablediff
 from graphweft.session import table
-from graphweft.sources import trace_parser
+from graphweft.sources import trace_parser, traces
 
 
 def _traces(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -33,6 +33,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return trace_parser.failures(trace_parser.parse_trace_lines(table(spark, d, "trace_lines"))).select("file_id", "line_no", "reason")
 
 
+def p3_raw(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of whole raw texts, quotes over line ends and all, that can't be read, and where in the line."""
+    parsed = trace_parser.parse_texts(traces.joined_lines(table(spark, d, "trace_lines")))
+    return parsed.where("reason is not null").select("file_id", "line_no", "kind", "reason", "error_at", "error", "lines")
+
+
 def p3_vertices(spark: SparkSession, d: str) -> DataFrame:
     """The valid vertex lines as typed rows."""
     return trace_parser.vertices(trace_parser.parse_trace_lines(table(spark, d, "trace_lines")))
@@ -53,7 +59,7 @@ def p4_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(table(spark, d, "perf_files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_differences": p1_differences, "p2_found": p2_found, "p3_found": p3_found, "p3_vertices": p3_vertices, "p3_edges": p3_edges, "p4_found": p4_found, "p4_table": p4_table}
+QUERIES = {"p1_found": p1_found, "p1_differences": p1_differences, "p2_found": p2_found, "p3_found": p3_found, "p3_raw": p3_raw, "p3_vertices": p3_vertices, "p3_edges": p3_edges, "p4_found": p4_found, "p4_table": p4_table}
 
 _P1_COPY = """
 v_{c} AS (SELECT step, vec_id, vec, vec[1]::BIGINT AS uid FROM (SELECT DISTINCT step, vec_id, vec FROM vertex_trace_{c})),

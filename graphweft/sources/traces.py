@@ -33,11 +33,24 @@ def dump_step(graph: model.Graph, attributes: list[str], step: int, folder: str)
 
 
 def read_trace_lines(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """file_id, line_no, kind, line of dumped traces, ready for the parser. The line number is the row's place in its task
-    and file: unique, not dense."""
+    """file_id, line_no (both long), kind, line of dumped traces, ready for the parser. A file's id is the hash of its path.
+    Line numbers rise within a file and come once in the whole folder; they aren't dense."""
     sub = {"vertex": "vertices", "edge": "edges"}[kind]
     lines = spark.read.text(f"{folder}/{sub}")
-    return lines.select(F.pmod(F.xxhash64(F.input_file_name()), F.lit(2**31 - 1)).cast("int").alias("file_id"), F.pmod(F.monotonically_increasing_id(), F.lit(2**31 - 1)).cast("int").alias("line_no"), F.lit(kind).alias("kind"), F.col("value").alias("line"))
+    return lines.select(F.xxhash64(F.input_file_name()).alias("file_id"), F.monotonically_increasing_id().alias("line_no"), F.lit(kind).alias("kind"), F.col("value").alias("line"))
+
+
+def joined_lines(lines: DataFrame, most: int = 500) -> DataFrame:
+    """file_id, line_no, kind, text: the lines of each file and kind as raw text again, in blocks of up to ``most`` line
+    numbers from the given line on, ready for ``parse_texts``. Rows repeated unchanged count once, missing numbers are empty
+    lines."""
+    at = F.col("line_no")
+    block = (F.floor(at / most) * most).cast(lines.schema["line_no"].dataType)
+    rows = lines.groupBy("file_id", "kind", block.alias("block")).agg(F.array_sort(F.collect_set(F.struct("line_no", "line"))).alias("rows"))
+    by_no = F.map_from_entries(F.transform("rows", lambda r: F.struct(r["line_no"], r["line"])))
+    first, last = F.col("rows")[0]["line_no"], F.element_at("rows", -1)["line_no"]
+    text = F.array_join(F.transform(F.sequence(first, last), lambda n: F.coalesce(by_no[n], F.lit(""))), "\n")
+    return rows.select("file_id", first.alias("line_no"), "kind", text.alias("text"))
 
 
 def key_values(lines: DataFrame, names: dict[str, str], text: str = "value") -> DataFrame:

@@ -2,6 +2,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphweft.sources import trace_parser as P
+from graphweft.sources import traces
 
 
 def reason(kind, line):
@@ -75,9 +76,45 @@ def test_fields_against_a_state_machine(line):
 
 
 def test_recovery_in_raw_text():
-    text = '1,2,3,1,0,1.0\n1,2,"3,1,0,1.0\nnot a record\n4,5,6,0\n7,8,9,0'
-    got = [(at, type(r).__name__) for at, r in P.parse_text("vertex", text)]
-    assert got == [(0, "TraceRecord"), (14, "TraceSyntaxError"), (text.index("4,5"), "TraceRecord"), (text.index("7,8"), "TraceRecord")]
+    text = '1,2,3,1,0,1.0\n1,2,"3,1,0,1.0\nnot a record\n4,5,6,0\n7,8,9,0\n1,2,"a\nb\nc",0\n\n" 1 ",2,3,0\r\n1,"2'
+    got = [(at, lines, getattr(r, "reason", "")) for at, lines, r in P.parse_text("vertex", text)]
+    at = text.index
+    # a broken quote, a line behind it, a quoted field over three lines, an empty line, a broken quote at the end
+    assert got == [(0, 1, ""), (14, 1, "quoting"), (at("not"), 1, "columns"), (at("4,5"), 1, ""), (at("7,8"), 1, ""), (at('1,2,"a'), 3, "value"), (at("\n\n") + 1, 1, "columns"), (at('" 1'), 1, ""), (at('1,"2'), 1, "quoting")]
+    assert list(P.parse_text("edge", "")) == [] and [n for _, n, _ in P.parse_text("edge", "\n\n")] == [1, 1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(['1,2,3,0', '1,2,3,1,0,"4', 'junk,line', '"', 'x"y', '1,2,"3",0', '4"', '', '5,6,7,1,0,"a ""b', '",0', '"1","2","3",0']), max_size=9))
+def test_no_line_of_raw_text_is_lost(lines):
+    text = "\n".join([*lines, "1,2,3,0"])
+    got = list(P.parse_text("vertex", text))
+    assert sum(n for _, n, _ in got) == len(lines) + 1
+    starts = [0]
+    for x in lines:
+        starts.append(starts[-1] + len(x) + 1)
+    found = {starts.index(at): (n, r) for at, n, r in got}
+    for i, x in enumerate([*lines, "1,2,3,0"]):
+        alone = P.parse_line("vertex", x)
+        if isinstance(alone, P.TraceRecord):  # a broken quote swallows no valid record
+            assert found[i] == (1, alone)
+        elif i in found and found[i][0] == 1:
+            assert found[i][1].reason == alone.reason
+
+
+def test_rows_are_anchors():
+    kinds, lines = ["vertex", "edge", "vertex", None, "edge"], ['1,2,3,1,0,"4', '"1",2,3,IN:4:5', None, "1", '1,2,"3']
+    got = list(P.parse_rows(kinds, lines))
+    assert [getattr(r, "reason", r) for r in got] == [getattr(r, "reason", r) for r in map(P.parse_line, kinds, lines)] == ["quoting", got[1], "columns", "kind", "quoting"]
+
+
+def test_texts_of_files(spark):
+    rows = [(1, 1, "vertex", "1,2,3,0"), (1, 2, "vertex", '1,"2'), (1, 3, "vertex", "junk"), (1, 3, "vertex", "junk"), (1, 700, "vertex", "4,5,6,0"), (2, 1, "edge", "1,2,3,IN:1:2")]
+    texts = traces.joined_lines(spark.createDataFrame(rows, "file_id int, line_no int, kind string, line string"))
+    got = {(r["file_id"], r["line_no"]): r["reason"] for r in P.parse_texts(texts).collect()}
+    assert got == {(1, 1): None, (1, 2): "quoting", (1, 3): "columns", (1, 700): None, (2, 1): None}
+    odd = spark.createDataFrame([(1, 1, None, "a\nb"), (2, 1, "edge", None), (3, 5, "edge", "")], "file_id int, line_no int, kind string, text string")
+    assert [(r["line_no"], r["reason"]) for r in P.parse_texts(odd).collect()] == [(1, "kind"), (2, "kind")]
 
 
 def test_table(spark):
