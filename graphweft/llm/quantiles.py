@@ -31,10 +31,25 @@ def bucket_columns(x: Column, alpha: float) -> tuple[Column, Column]:
     return sign, bucket
 
 
+_SHIFT = 3_000_000_000
+
+
+def place_of(x: Column, alpha: float) -> Column:
+    """Sign and bucket of a value as one number that rises with the value; null for null and NaN."""
+    sign, bucket = bucket_columns(x, alpha)
+    return sign.cast("long") * (bucket.cast("long") + _SHIFT)
+
+
+def sketch_places(df: DataFrame, place: str, by: Sequence[str]) -> DataFrame:
+    """The sketch of a column made by :func:`place_of`."""
+    counted = df.groupBy(*by, place).agg(F.count("*").alias("n"))
+    at = F.col(place)
+    return counted.select(*by, F.signum(at.cast("double")).cast("tinyint").alias("sign"), F.when(at == 0, ZERO).otherwise(F.abs(at) - _SHIFT).cast("int").alias("bucket"), "n")
+
+
 def sketch(df: DataFrame, value: str, by: Sequence[str], alpha: float = 0.01) -> DataFrame:
     """The sketch of ``value`` per group: by..., sign, bucket, n. Null and NaN count under a null bucket."""
-    sign, bucket = bucket_columns(F.col(value).cast("double"), alpha)
-    return df.select(*by, sign.alias("sign"), bucket.alias("bucket")).groupBy(*by, "sign", "bucket").agg(F.count("*").alias("n"))
+    return sketch_places(df.select(*by, place_of(F.col(value).cast("double"), alpha).alias("_place")), "_place", by)
 
 
 def merge(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -50,7 +65,7 @@ def percentiles(sketches: DataFrame, by: Sequence[str], at: Sequence[float], alp
     """
     g = (1 + alpha) / (1 - alpha)
     total = Window.partitionBy(*by)
-    place = F.col("sign").cast("long") * (F.col("bucket").cast("long") + 3_000_000_000)  # ascending as the values do
+    place = F.col("sign").cast("long") * (F.col("bucket").cast("long") + _SHIFT)  # ascending as the values do
     upto = Window.partitionBy(*by).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     known = F.col("bucket").isNotNull()
     counted = sketches.withColumn("n_unknown", F.sum(F.when(~known, F.col("n")).otherwise(0)).over(total)).where(known)
@@ -63,7 +78,7 @@ def percentiles(sketches: DataFrame, by: Sequence[str], at: Sequence[float], alp
     return hit.select(*by, "q", "value", F.col("total").alias("n"), "n_unknown", F.lit(alpha).alias("rel_error"))
 
 
-def unpivot_fields(df: DataFrame, keep: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One row per field: keep..., field, value (double)."""
-    entries = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields]))
+def unpivot_fields(df: DataFrame, keep: Sequence[str], fields: Sequence[str], kind: str = "double") -> DataFrame:
+    """One row per field: keep..., field, value (of type ``kind``)."""
+    entries = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast(kind).alias("value")) for f in fields]))
     return df.select(*keep, entries.alias("e")).select(*keep, "e.field", "e.value")

@@ -13,20 +13,21 @@ P5_FIELDS, P5_AT, P5_ALPHA = ("metadata", "edges", "nquiets"), (0.01, 0.25, 0.5,
 
 
 def _once(spark: SparkSession, d: str, *keep: str) -> DataFrame:
-    """keep..., field, value: every record once, however often it was delivered. Records lie together by PE and span of 4096
-    timesteps, so that sketches of a PE combine where they are and a PE with a third of all records is spread."""
-    slots = table(spark, d, "perf_records").select("record_id", "run_id", "pe", "timestep", F.shiftright("timestep", 12).alias("span"), *[c for c in keep if c not in ("run_id", "pe")], *P5_FIELDS)
-    placed = slots.repartition("run_id", "pe", "span")
-    keys = ["record_id", "run_id", "pe", "timestep", "span"]
-    return placed.groupBy(*keys).agg(*[F.max(c).alias(c) for c in placed.columns if c not in keys])
+    """run_id, pe, keep..., and each field's place in a sketch: every record once, however often it was delivered. Records lie
+    together by PE and span of 4096 timesteps, so that sketches of a PE combine where they are and a PE with a third of all
+    records is spread; what is shuffled is places, not values."""
+    keys = ["record_id", "run_id", "pe", "timestep"]
+    places = [quantiles.place_of(F.col(f).cast("double"), P5_ALPHA).alias(f) for f in P5_FIELDS]
+    slots = table(spark, d, "perf_records").select(*keys, *keep, *places)
+    placed = slots.repartition("run_id", "pe", F.shiftright("timestep", 12))
+    return placed.withColumn("span", F.shiftright("timestep", 12)).groupBy(*keys, "span").agg(*[F.max(c).alias(c) for c in (*keep, *P5_FIELDS)])
 
 
 def _sketch_of_pes(spark: SparkSession, d: str) -> DataFrame:
     """app, run_id, pe, field, sign, bucket, n: one sketch per PE, lying together by run, PE and field."""
-    by = ("app", "run_id", "pe", "field")
-    rows = quantiles.unpivot_fields(_once(spark, d, "app"), ("app", "run_id", "pe", "span"), P5_FIELDS)
-    parts = quantiles.sketch(rows, "value", ("app", "run_id", "pe", "span", "field"), P5_ALPHA)
-    return quantiles.merge(parts.repartition("run_id", "pe", "field"), by)
+    rows = quantiles.unpivot_fields(_once(spark, d, "app"), ("app", "run_id", "pe", "span"), P5_FIELDS, "long")
+    parts = quantiles.sketch_places(rows, "value", ("app", "run_id", "pe", "span", "field"))
+    return quantiles.merge(parts.repartition("run_id", "pe", "field"), ("app", "run_id", "pe", "field"))
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -44,8 +45,8 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_daily_merge(spark: SparkSession, d: str) -> DataFrame:
     """The same per app, from sketches made per day (of logging) and then joined to those of all days."""
-    rows = quantiles.unpivot_fields(_once(spark, d, "logged_at", "app").withColumn("day", F.to_date("logged_at")), ("day", "app"), P5_FIELDS)
-    daily = quantiles.sketch(rows, "value", ("day", "app", "field"), P5_ALPHA)
+    rows = quantiles.unpivot_fields(_once(spark, d, "logged_at", "app").withColumn("day", F.to_date("logged_at")), ("day", "app"), P5_FIELDS, "long")
+    daily = quantiles.sketch_places(rows, "value", ("day", "app", "field"))
     return quantiles.percentiles(quantiles.merge(daily, ("app", "field")), ("app", "field"), P5_AT, P5_ALPHA)
 
 
