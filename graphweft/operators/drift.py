@@ -33,11 +33,10 @@ _BARE_NUMBER = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 _FIRST_NUMBER = r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"
 
 
-def _documents(files: DataFrame, *extra: str) -> DataFrame:
-    """stream_id, file_no, opened_at, line_no, extra..., doc: rows whose payload is a JSON object; others (null, broken, a
-    list) have no fields."""
-    rows = files.select("stream_id", "file_no", "opened_at", "line_no", "payload", *extra)
-    return rows.withColumn("doc", F.try_parse_json("payload")).where(F.schema_of_variant("doc").startswith("OBJECT"))
+def _documents(files: DataFrame, *keep: str) -> DataFrame:
+    """keep..., doc: the parsed payload of each row, null if it is broken. It comes out of a generator, so that conditions on
+    it aren't moved below and each payload is parsed once."""
+    return files.select(*keep, F.explode(F.array(F.try_parse_json("payload"))).alias("doc"))
 
 
 def kind_of(shape: F.Column) -> F.Column:
@@ -84,23 +83,30 @@ def read_layout(layout: str) -> list[tuple[str, str | None, str | None]]:
                 at += 2
         return out, at + 1
 
-    found = members(layout.index("<"))[0] if "<" in layout else []
-    return [(f, _KINDS.get(k), layout[i:j] if k == "OBJECT" else None) for f, k, i, j in found]
+    def json_type(name: str) -> str | None:
+        if name.startswith("DECIMAL"):
+            digits, scale = name[8:-1].split(",")
+            return "integer" if scale == "0" and int(digits) > 18 else "double"
+        return _KINDS.get(name)
+
+    found = members(layout.index("<"))[0] if layout.startswith("OBJECT<") else []
+    return [(f, json_type(k), layout[i:j] if k == "OBJECT" else None) for f, k, i, j in found]
 
 
 def _count_fields(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(stream, file_no, opened, f, kind, shape, n) for stream, file_no, opened, layout, n in pdf.itertuples(index=False) for f, kind, shape in read_layout(layout)]
+        rows = [(stream, file_no, opened, f, kind, shape, n) for stream, file_no, opened, layout, n in pdf.itertuples(index=False) for f, kind, shape in read_layout(layout or "")]
         yield pd.DataFrame(rows, columns=["stream_id", "file_no", "opened_at", "field", "type", "shape", "n"])
 
 
 def count_fields(files: DataFrame) -> DataFrame:
     """stream_id, file_no, opened_at, field, type, shape, n: how many values of each type a field has in a file. Rows repeated
     unchanged count once."""
-    layout = F.schema_of_variant("doc")
-    layout = F.regexp_replace(layout, r"(?<=: |ARRAY<)DECIMAL\((?:19|[23][0-9]),0\)(?=[,>])", "BIGINT")
-    layout = F.regexp_replace(layout, r"(?<=: |ARRAY<)DECIMAL\([0-9]+,[0-9]+\)(?=[,>])", "DOUBLE")
-    docs = _documents(files).select("stream_id", "file_no", "opened_at", "line_no", F.xxhash64("payload").alias("h1"), F.xxhash64(F.lit(1), F.reverse("payload")).alias("h2"), layout.alias("layout"))
+    written = F.schema_of_variant("doc")
+    # numbers by their JSON type, so that few layouts differ; a layout with quoted names is left as it is, and read so
+    even = F.regexp_replace(F.regexp_replace(written, r": DECIMAL\((?:19|[23][0-9]),0\)", ": BIGINT"), r": DECIMAL\([0-9,]+\)", ": DOUBLE")
+    layout = F.when(F.instr(written, "`") > 0, written).otherwise(even)
+    docs = _documents(files, "stream_id", "file_no", "opened_at", "line_no", "payload").select("stream_id", "file_no", "opened_at", "line_no", F.xxhash64("payload").alias("h1"), F.hash("payload").alias("h2"), layout.alias("layout"))
     placed = docs.repartition("stream_id", "file_no", F.floor(F.col("line_no") / 4096))
     once = placed.dropDuplicates(["stream_id", "file_no", "line_no", "h1", "h2"])
     counted = once.groupBy("stream_id", "file_no", "opened_at", "layout").agg(F.count("*").alias("n")).select("stream_id", "file_no", "opened_at", "layout", "n")
@@ -157,7 +163,7 @@ def _agreements(files: DataFrame, pairs: DataFrame) -> DataFrame:
     open_pairs = pairs.select("stream_id", "prev_file", "file_no", names(True, False).alias("gone"), names(False, True).alias("new")).where("size(gone) > 0 and size(new) > 0")
     asks = lambda file, names, old: open_pairs.select("stream_id", F.col(file).alias("file_no"), F.struct(F.col("file_no").alias("pair"), F.lit(old).alias("old"), F.col(names).alias("names")).alias("ask"))
     per_file = asks("prev_file", "gone", True).unionByName(asks("file_no", "new", False)).groupBy("stream_id", "file_no").agg(F.collect_list("ask").alias("asks"))
-    docs = _documents(files.join(per_file, ["stream_id", "file_no"]), "asks").select("stream_id", "asks", F.try_variant_get("doc", "$.pe", "bigint").alias("pe"), F.try_variant_get("doc", "$.timestep", "bigint").alias("timestep"), F.expr("try_variant_get(doc, '$', 'map<string,variant>')").alias("values"))
+    docs = _documents(files.join(per_file, ["stream_id", "file_no"]), "stream_id", "asks").select("stream_id", "asks", F.try_variant_get("doc", "$.pe", "bigint").alias("pe"), F.try_variant_get("doc", "$.timestep", "bigint").alias("timestep"), F.expr("try_variant_get(doc, '$', 'map<string,variant>')").alias("values"))
     number = lambda v: carried_number(kind_of(F.schema_of_variant(v)), F.try_variant_get(v, "$", "string"))
     numbers = lambda ask: F.filter(F.transform(ask["names"], lambda n, i: F.struct(i.alias("i"), number(F.col("values")[n]).alias("x"))), lambda e: e["x"].isNotNull())
     read = docs.where("pe is not null and timestep is not null").select("stream_id", "pe", "timestep", F.explode("asks").alias("ask"), "values").select("stream_id", F.col("ask.pair").alias("pair"), "pe", "timestep", F.col("ask.old").alias("old"), numbers(F.col("ask")).alias("found")).where("size(found) > 0")
@@ -375,7 +381,7 @@ def consistent_table(files: DataFrame, most_columns: int = MOST_COLUMNS) -> Data
             types[name] = kind
             taken.add(name.lower())
     names = named.groupBy("stream_id", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
-    docs = _documents(files.join(names, ["stream_id", "file_no"]), "names").select("stream_id", "names", F.struct("opened_at", "file_no").alias("at"), F.try_variant_get("doc", "$.pe", "bigint").alias("pe"), F.try_variant_get("doc", "$.timestep", "bigint").alias("timestep"), F.expr("try_variant_get(doc, '$', 'map<string,variant>')").alias("values"))
+    docs = _documents(files.join(names, ["stream_id", "file_no"]), "stream_id", "file_no", "opened_at", "names").select("stream_id", "names", F.struct("opened_at", "file_no").alias("at"), F.try_variant_get("doc", "$.pe", "bigint").alias("pe"), F.try_variant_get("doc", "$.timestep", "bigint").alias("timestep"), F.expr("try_variant_get(doc, '$', 'map<string,variant>')").alias("values"))
     entry = lambda e: F.struct(F.col("names")[e["key"]].alias("name"), kind_of(F.schema_of_variant(e["value"])).alias("kind"), F.try_variant_get(e["value"], "$", "string").alias("text"))
     entries = F.transform(F.filter(F.map_entries("values"), lambda e: ~e["key"].isin("pe", "timestep")), entry)
     # whole records travel, to where both aggregations find them together
