@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphweft.operators.neighbors import triangles
+
 
 def bursts(events: DataFrame, key: Sequence[str], time: str, window: str = "1 day", factor: float = 2.0) -> DataFrame:
     """key..., window_start, recent, history, windows_before: windows in which a key with a history comes at ``factor``
@@ -24,9 +26,6 @@ def bursts(events: DataFrame, key: Sequence[str], time: str, window: str = "1 da
 
 
 def window_triangles(edges: DataFrame, time: str, window: str) -> DataFrame:
-    """window_start, triangles: triangles among the edges (src, dst) of each tumbling window."""
+    """window_start, triangles: triangles among the edges (src, dst) of each tumbling window, oriented by degree within it."""
     start = F.window(F.col(time), window).getField("start")
-    e = edges.where("src <> dst").select(start.alias("w"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    wedges = e.join(e.select("w", F.col("a").alias("b"), F.col("b").alias("c")), ["w", "b"])
-    closed = wedges.join(e.select("w", "a", F.col("b").alias("c")), ["w", "a", "c"], "left_semi")
-    return closed.groupBy(F.col("w").alias("window_start")).agg(F.count("*").alias("triangles"))
+    return triangles(edges.select(start.alias("window_start"), "src", "dst"), ["window_start"]).groupBy("window_start").agg(F.count("*").alias("triangles"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphweft.functions.scalars import pattern_distance, pattern_edges
 from graphweft.operators.bsp import connected_components
-from graphweft.operators.neighbors import oriented
+from graphweft.operators.neighbors import oriented, triangles
 from graphweft.operators.rangejoin import range_join
 from graphweft.session import cut
 
@@ -112,13 +113,19 @@ GCN_WEIGHTS = ((0.1, 0.02), (0.3, 0.4), (0.2, 0.1))
 def convolve(adjacency: DataFrame, features: DataFrame, names: Sequence[str], weights=GCN_WEIGHTS) -> DataFrame:
     """id, pooled_0, pooled_1: the column-wise maximum of A X W over each vertex's closed neighbourhood.
 
-    A holds self edges and the edges among the neighbours; X W is made first, so only two numbers per vertex move."""
+    A holds self edges and the edges among the neighbours; X W is made first, so only two numbers per vertex move. Row i of
+    v's neighbourhood sums over the vertices joined to both: v and i themselves, and the third of each triangle over their
+    edge. Triangles are found along oriented edges, so a hub makes no wedges. Vertices without features add nothing."""
     made = features.select(F.col("id").alias("k"), *[sum((F.col(n) * w[j] for n, w in zip(names, weights)), F.lit(0.0)).alias(f"w{j}") for j in range(2)])
-    closed = cut(adjacency.select("src", "dst").where("src <> dst").unionByName(features.select(F.col("id").alias("src"), F.col("id").alias("dst"))).distinct())
-    vi = closed.select(F.col("src").alias("v"), F.col("dst").alias("i"))
-    ik = closed.select(F.col("src").alias("i"), F.col("dst").alias("k"))
-    rows = vi.join(ik, "i").join(closed.select(F.col("src").alias("v"), F.col("dst").alias("k")), ["v", "k"], "left_semi").join(made, "k")
-    return rows.groupBy("v", "i").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1")).groupBy(F.col("v").alias("id")).agg(F.max("w0").alias("pooled_0"), F.max("w1").alias("pooled_1"))
+    links = cut(adjacency.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    entry = lambda v, i, k: F.struct(F.col(v).alias("v"), F.col(i).alias("i"), F.col(k).alias("k"))
+    of_edge = [entry(v, i, k) for v, i in (("src", "dst"), ("dst", "src")) for k in (v, i)]
+    of_triangle = [entry(*x) for x in itertools.permutations("abc")]
+    ends = F.explode(F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("k")), F.struct(F.col("dst").alias("v"), F.col("src").alias("k")))).alias("e")
+    own = links.select(ends).select("e.*").unionByName(features.select(F.col("id").alias("v"), F.col("id").alias("k")))
+    own = own.join(features.select(F.col("id").alias("v")), "v", "left_semi").select("v", F.col("v").alias("i"), "k")
+    rows = links.select(F.explode(F.array(*of_edge)).alias("e")).select("e.*").unionByName(triangles(links).select(F.explode(F.array(*of_triangle)).alias("e")).select("e.*")).unionByName(own)
+    return rows.join(made, "k").groupBy("v", "i").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1")).groupBy(F.col("v").alias("id")).agg(F.max("w0").alias("pooled_0"), F.max("w1").alias("pooled_1"))
 
 
 def lonely_supernodes(pooled: DataFrame, radius: float) -> DataFrame:

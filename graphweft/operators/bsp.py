@@ -12,11 +12,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphweft import model
-from graphweft.session import cut
+from graphweft.session import cut, release
 
 
 @dataclass
@@ -42,6 +42,8 @@ def run_supersteps(
     fixed_steps: bool = False,
     frozen: Column | None = None,
     stop: Callable[[DataFrame, int], bool] | None = None,
+    trigger: Callable[[int], DataFrame | None] | None = None,
+    cut_every: int = 1,
 ) -> tuple[DataFrame, Stats]:
     """The state (id, attributes...) after supersteps, and their statistics.
 
@@ -49,17 +51,23 @@ def run_supersteps(
     vertex gets. ``update``: new value of each attribute from the combined message (null if there was none); old values are
     plain columns. Ends when nothing changes, at ``max_steps`` or ``max_seconds``, or when ``stop`` says so.
     ``frontier_only``: only vertices that changed send. ``fixed_steps``: don't look at changes. ``frozen``: vertices (of
-    terminated owners) that keep their state but may still be read.
+    terminated owners) that keep their state but may still be read. ``trigger``: vertices (column id) that a step counts as
+    changed whether they are or not, as many times as they come in. ``cut_every``: steps between cuts, if nothing is looked
+    at between them (``fixed_steps`` without ``stop``). State that a later cut replaces is deleted.
     """
     names = state.columns
     links = cut(adjacency.repartition("src"))
     edge = F.struct(*[c for c in links.columns if c != "src"])
     now, stats, began = cut(state.withColumn("_active", F.lit(True))), Stats(), time.monotonic()
+    held = now
     for step in range(max_steps):
         if max_seconds is not None and time.monotonic() - began > max_seconds:
             stats.ended = "time"
             return now.select(names), stats
         t = time.monotonic()
+        forced = trigger(step) if trigger is not None else None
+        if forced is not None:
+            now = now.join(forced.select("id", F.lit(True).alias("_f")).distinct(), "id", "left").withColumn("_active", F.col("_active") | F.coalesce("_f", F.lit(False))).drop("_f")
         senders = now.where("_active") if frontier_only else now
         sent = links.join(senders.select(F.col("id").alias("src"), F.struct(*names).alias("s")), "src").select(F.col("dst").alias("id"), edge.alias("e"), "s")
         mail = sent.select("id", message.alias("_m")).groupBy("id").agg(combine(F.col("_m")).alias("_m"))
@@ -71,10 +79,14 @@ def run_supersteps(
         active = F.lit(False)
         for k in new:
             active = active | model.changed(F.col(f"_n_{k}"), F.col(k))
-        now = cut(wide.select(*[F.col(f"_n_{c}").alias(c) if c in new else F.col(c) for c in names], active.alias("_active")))
+        now = wide.select(*[F.col(f"_n_{c}").alias(c) if c in new else F.col(c) for c in names], active.alias("_active"))
+        if not fixed_steps or stop is not None or (step + 1) % cut_every == 0:
+            now = cut(now)
+            release(held)
+            held = now
         moved = -1 if fixed_steps else now.where("_active").count()
         stats.steps.append((step, moved, time.monotonic() - t))
-        if moved == 0:
+        if moved == 0 and (trigger is None or trigger(step + 1) is None):
             stats.ended = "settled"
             return now.select(names), stats
         if stop is not None and stop(now.select(names), step):
@@ -105,16 +117,17 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     the paths. Each step aggregates before its shuffle; nothing is collected. Vertices without edges (from ``vertices``,
     column id) are their own component."""
     pairs = cut(edges.where("src is not null and dst is not null and src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = mark(pairs)
+    before = None
     for _ in range(max_rounds):
         both = pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        pairs = cut(linked.where("u <> v").distinct())
-        after = mark(pairs)
+        mark = Observation()  # of the cut's own job
+        held, pairs = pairs, cut(linked.where("u <> v").distinct().observe(mark, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+        release(held)
+        after = mark.get
         if after == before:
             break
         before = after
@@ -145,7 +158,7 @@ def pagerank(edges: DataFrame, steps: int = 30, damping: float = 0.85, tolerance
     state = ids.join(out, "id", "left").select("id", "out", F.lit(1.0 / n).alias("rank"), F.lit(1.0).alias("moved"))
     new = lambda m: F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce(m, F.lit(0.0))
     settled = (lambda s, _: s.agg(F.max("moved")).first()[0] <= tolerance) if tolerance is not None else None
-    done, _ = run_supersteps(state, links, F.col("s.rank") / F.col("s.out"), F.sum, {"moved": lambda m: F.abs(new(m) - F.col("rank")), "rank": new}, max_steps=steps, frontier_only=False, fixed_steps=True, stop=settled)
+    done, _ = run_supersteps(state, links, F.col("s.rank") / F.col("s.out"), F.sum, {"moved": lambda m: F.abs(new(m) - F.col("rank")), "rank": new}, max_steps=steps, frontier_only=False, fixed_steps=True, stop=settled, cut_every=3)
     return done.select("id", "rank")
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.session import cut
+from graphweft.session import cut, release
 
 
 def neighbor_fetch(adjacency: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -43,24 +43,25 @@ def max_degree_vertex(adjacency: DataFrame) -> DataFrame:
     return degrees(adjacency).agg(best.alias("b")).where("b is not null").select((-F.col("b._neg")).alias("id"), F.col("b.degree").alias("degree"))
 
 
-def oriented(edges: DataFrame) -> DataFrame:
-    """lo, hi: each edge once from the end of lower degree to that of higher (ties by id), self edges left out. A vertex
-    has at most as many edges out as the square root of twice all edges, so paths through a hub stay few."""
-    e = edges.where("src <> dst").select("src", "dst").distinct()
-    both = e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
-    ranked = e.join(both.select(F.col("id").alias("src"), F.col("d").alias("ds")), "src").join(both.select(F.col("id").alias("dst"), F.col("d").alias("dd")), "dst")
+def oriented(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by..., lo, hi: each edge of each graph (named by ``by``) once from the end of lower degree to that of higher (ties by
+    id), self edges left out. A vertex has at most as many edges out as the square root of twice all edges, so paths through
+    a hub stay few."""
+    e = edges.where("src <> dst").select(*by, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    both = e.select(*by, F.explode(F.array("src", "dst")).alias("id")).groupBy(*by, "id").agg(F.count("*").alias("d"))
+    ranked = e.join(both.select(*by, F.col("id").alias("src"), F.col("d").alias("ds")), [*by, "src"]).join(both.select(*by, F.col("id").alias("dst"), F.col("d").alias("dd")), [*by, "dst"])
     first = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
-    return ranked.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("lo"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("hi"))
+    return ranked.select(*by, F.when(first, F.col("src")).otherwise(F.col("dst")).alias("lo"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("hi"))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """a < b < c of every triangle, once."""
-    o = oriented(edges)
-    wedges = o.select("lo", F.col("hi").alias("x")).join(o.select("lo", F.col("hi").alias("y")), "lo").where("x < y")
-    closing = o.select(F.least("lo", "hi").alias("x"), F.greatest("lo", "hi").alias("y"))
-    closed = wedges.join(closing, ["x", "y"])
+def triangles(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by..., a < b < c of every triangle, once."""
+    o = oriented(edges, by)
+    wedges = o.select(*by, "lo", F.col("hi").alias("x")).join(o.select(*by, "lo", F.col("hi").alias("y")), [*by, "lo"]).where("x < y")
+    closing = o.select(*by, F.least("lo", "hi").alias("x"), F.greatest("lo", "hi").alias("y"))
+    closed = wedges.join(closing, [*by, "x", "y"])
     three = F.array_sort(F.array("lo", "x", "y"))
-    return closed.select(three[0].alias("a"), three[1].alias("b"), three[2].alias("c"))
+    return closed.select(*by, three[0].alias("a"), three[1].alias("b"), three[2].alias("c"))
 
 
 def wedge_closure(edges: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ def khop(adjacency: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     for hop in range(1, k + 1):
         front = seen.where(F.col("dist") == hop - 1).select(F.col("id").alias("src"))
         new = a.join(front, "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("dist", F.lit(hop))
-        seen = cut(seen.unionByName(new))
+        before, seen = seen, cut(seen.unionByName(new))
+        release(before)
         if seen.where(F.col("dist") == hop).isEmpty():
             break
     return seen

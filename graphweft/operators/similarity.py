@@ -2,63 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Query vectors held by the driver and sent to the tasks at once.
-BLOCK = 4096
+#: Queries and rows that a task holds at once, about.
+QUERY_BLOCK, ROW_BLOCK = 4096, 65_536
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
 def radius_search(queries: DataFrame, rows: DataFrame, key: str, vector: str, radius: float) -> DataFrame:
     """query, key, for rows other than the query itself at most ``radius`` (Euclidean) from it.
 
-    In many dimensions cells prune nothing, so every row is held against blocks of queries by matrix products; rows aren't
-    shuffled, and queries reach the driver a block at a time, streamed. Null vectors, vectors with null entries and those
-    of another length than the query's match nothing."""
-    size = F.size(vector)
+    In many dimensions cells prune nothing, so blocks of queries are held against blocks of rows by matrix products, each
+    pair of blocks in a task of its own: a query travels once per block of rows and a row once per block of queries. Only
+    the two numbers of blocks reach the driver. Null vectors, vectors with null entries and those of another length than
+    the query's match nothing."""
     clean = F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
-    q = queries.where(clean).select(key, vector, size.alias("n"))
-    r = rows.where(clean).select(key, vector, size.alias("n"))
+    q, r = (x.where(clean & F.col(key).isNotNull()).select(key, F.col(vector).alias("vector"), F.size(vector).alias("size")) for x in (queries, rows))
+    n_q, n_r = -(-q.count() // QUERY_BLOCK) or 1, -(-r.count() // ROW_BLOCK) or 1
+    block = lambda n, salt: F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("qb", block(n_q, "q")).withColumn("rb", each(n_r))
+    right = r.withColumn("rb", block(n_r, "r")).withColumn("qb", each(n_q))
     kind = rows.schema[key].dataType.simpleString()
-    found = None
-    block: list = []
-
-    def search(rows_q: list) -> DataFrame:
-        by_size: dict[int, list] = {}
-        for x in rows_q:
-            by_size.setdefault(x["n"], []).append(x)
-        made = {n: (np.array([x[key] for x in xs]), np.array([x[vector] for x in xs], dtype=np.float64)) for n, xs in by_size.items()}
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for n, (ids, qs) in made.items():
-                    part = b.filter(pa.compute.equal(b.column(2), n))
-                    for i in range(0, part.num_rows, 2000):
-                        piece = part.slice(i, 2000)
-                        x = _matrix(piece.column(1))
-                        # candidates by the expanded form, then the exact distance
-                        d2 = (qs * qs).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * qs @ x.T
-                        a, c = np.nonzero(d2 <= radius * radius * (1 + 1e-9) + 1e-9)
-                        exact = np.sqrt(((qs[a] - x[c]) ** 2).sum(1)) <= radius
-                        own = piece.column(0).to_numpy(zero_copy_only=False)
-                        keep = exact & (ids[a] != own[c])
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[a][keep]), pa.array(own[c][keep])], names=["query", key])
-
-        return r.mapInArrow(run, f"query {kind}, `{key}` {kind}")
 
-    for row in q.toLocalIterator():
-        block.append(row)
-        if len(block) == BLOCK:
-            found, block = search(block) if found is None else found.unionByName(search(block)), []
-    if block or found is None:
-        found = search(block) if found is None else found.unionByName(search(block))
-    return found
+    def search(qs: pa.Table, rs: pa.Table) -> pa.Table:
+        found = []
+        for n in set(qs["size"].to_pylist()) & set(rs["size"].to_pylist()):
+            a, b = (x.filter(pa.compute.equal(x["size"], n)) for x in (qs, rs))
+            u, v = _matrix(a["vector"]), _matrix(b["vector"])
+            ids, own = (x[key].to_numpy() for x in (a, b))
+            for i in range(0, len(v), 2000):
+                # candidates by the expanded form, then the exact distance
+                x = v[i : i + 2000]
+                d2 = (u * u).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * u @ x.T
+                at, to = np.nonzero(d2 <= radius * radius * (1 + 1e-9) + 1e-9)
+                exact = np.sqrt(((u[at] - x[to]) ** 2).sum(1)) <= radius
+                keep = exact & (ids[at] != own[i + to])
+                found.append((ids[at][keep], own[i + to][keep]))
+        at, to = ([f[j] for f in found] for j in (0, 1))
+        join = lambda xs, like: pa.array(np.concatenate(xs) if xs else [], like)
+        return pa.table({"query": join(at, qs.schema.field(key).type), key: join(to, rs.schema.field(key).type)})
+
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(search, f"query {q.schema[key].dataType.simpleString()}, `{key}` {kind}")

@@ -10,12 +10,16 @@ from graphweft.analytics import communities, simulation
 from graphweft.operators import bsp, coupling, neighbors, rangejoin
 from graphweft.session import table
 
-#: A run has under 2^17 steps and 2^13 owners, so step and vec_id share a long.
+#: Step and vec_id share a long: of up to 2^13 owners as they are, of up to 2^20 owners with up to 2^26 vertices each as a
+#: negative number.
 STEP_SHIFT = 45
 
 
 def _id(vec_id) -> F.Column:
-    return F.when(vec_id < 2**STEP_SHIFT, F.shiftleft(F.col("step").cast("long"), STEP_SHIFT).bitwiseOR(vec_id)).otherwise(F.raise_error(F.lit("a vec_id beyond 2^45")).cast("long"))
+    step, owner, offset = F.col("step").cast("long"), F.shiftright(vec_id, 32), vec_id.bitwiseAND(F.lit(0xFFFFFFFF))
+    wide = F.lit(-1) - F.shiftleft(step, 46).bitwiseOR(F.shiftleft(owner, 26)).bitwiseOR(offset)
+    fits = (owner < 2**20) & (offset < 2**26) & (step < 2**17)
+    return F.when(vec_id < 2**STEP_SHIFT, F.shiftleft(step, STEP_SHIFT).bitwiseOR(vec_id)).when(fits, wide).otherwise(F.raise_error(F.lit("a vec_id of an owner beyond 2^20, or beyond its 2^26th vertex")).cast("long"))
 
 
 def trace_edges(spark: SparkSession, d: str) -> DataFrame:

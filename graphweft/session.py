@@ -32,6 +32,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def release(df: DataFrame) -> None:
+    """Deletes what :func:`cut` wrote for ``df``, which must not be read again; does nothing for other DataFrames."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` for costly work on each row where it lies: as it is if it has a split for every core, else dealt out evenly.
     Files of many splits, as any large table has, are never shuffled for it."""
