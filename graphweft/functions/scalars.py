@@ -24,8 +24,10 @@ def edge_key(a: Column, b: Column) -> Column:
 
 
 def uniform(*keys: Column | str) -> Column:
-    """A number in [0, 1) that depends on the keys only."""
-    return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(2**53))
+    """A number in [0, 1) that depends on the keys only: the first 13 hexadecimal digits of the md5 of their texts, joined by
+    bars, so that any SQL engine can draw the same."""
+    text = F.concat_ws("|", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
 def lcg_next(state: Column) -> Column:

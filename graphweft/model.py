@@ -142,6 +142,32 @@ def delete_vertices(graph: Graph, gone: DataFrame) -> Graph:
     return Graph(graph.vertices.join(ids, "id", "left_anti"), edges.select(graph.edges.columns))
 
 
+def map_vertices(vertices: DataFrame, **new: Column) -> DataFrame:
+    """The vertices with attributes set anew; others and ids stay."""
+    return vertices.withColumns(new)
+
+
+def apply_updates(vertices: DataFrame, updates: DataFrame) -> DataFrame:
+    """The vertices with those of ``updates`` (the same columns, an id at most once) put in place of the ones with their ids,
+    or added."""
+    return vertices.join(updates.select("id"), "id", "left_anti").select(vertices.columns).unionByName(updates.select(vertices.columns))
+
+
+def upsert_edges(edges: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, active) after ``changes`` (src, dst, dir; of one pair at most one): an edge is made, or takes the direction
+    given, or goes if that is 0. Explicit edges neither go nor turn. active: the ids of ends for which whether the edge comes
+    in has changed."""
+    new = canonical_edges(changes).select("src", "dst", F.col("dir").alias("new_dir"), F.lit(True).alias("asked"))
+    both = edges.join(new, ["src", "dst"], "full_outer")
+    fixed = F.coalesce(F.col("kind") == EXPLICIT, F.lit(False))
+    after = F.when(F.col("asked") & ~fixed, F.col("new_dir")).otherwise(F.col("dir"))
+    told = both.select("src", "dst", F.coalesce("dir", F.lit(NO_EDGE).cast("tinyint")).alias("old"), after.alias("dir"), F.coalesce("kind", F.lit(IMPLICIT).cast("tinyint")).alias("kind"))
+    inward = lambda d: F.col(d).bitwiseAND(1) != 0
+    outward = lambda d: F.col(d).bitwiseAND(2) != 0
+    ends = F.array_compact(F.array(F.when(inward("old") != inward("dir"), F.col("src")), F.when(outward("old") != outward("dir"), F.col("dst"))))
+    return told.where(F.col("dir") != NO_EDGE).select("src", "dst", "dir", "kind"), told.select(F.explode(ends).alias("id")).distinct()
+
+
 def add_explicit_edges(graph: Graph, new: DataFrame) -> Graph:
     """The graph with the edges of ``new`` (src, dst, dir). An edge that is there stays as it is; the base vertex of an
     explicit edge must not be in a partition."""

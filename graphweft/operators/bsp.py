@@ -7,7 +7,9 @@ costs nothing but its running tasks.
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -29,6 +31,10 @@ class Stats:
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.steps, "step int, changed long, seconds double")
 
+    def write(self, spark, folder: str) -> None:
+        """The steps as JSON lines under ``folder``."""
+        self.frame(spark).coalesce(1).write.mode("overwrite").json(folder)
+
 
 def run_supersteps(
     state: DataFrame,
@@ -96,6 +102,32 @@ def run_supersteps(
     return now.select(names), stats
 
 
+class Hung(RuntimeError):
+    """A step took longer than it may."""
+
+
+def abort_after(spark, seconds: float, work: Callable[[], object]):
+    """What ``work`` gives; if it takes longer than ``seconds``, its Spark jobs are cancelled and :class:`Hung` is raised."""
+    group, late = f"graphweft-{uuid.uuid4().hex}", threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, cancel)
+    spark.sparkContext.setJobGroup(group, "with a time limit", interruptOnCancel=True)
+    timer.start()
+    try:
+        return work()
+    except Exception as e:
+        if late.is_set():
+            raise Hung(f"not done after {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def vertex_centric(state: DataFrame, adjacency: DataFrame, message: Column, combine, update, **how) -> tuple[DataFrame, Stats]:
     """Messages flow along edges and are combined with the vertex's own value."""
     return run_supersteps(state, adjacency, message, combine, update, **how)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.operators.bsp import connected_components
+from graphweft.session import cut, release
 
 
 def clusters(owners: DataFrame, requests: DataFrame, terminated: DataFrame | None = None) -> DataFrame:
@@ -32,6 +35,24 @@ def terminating(coupled: DataFrame, predicate: Column, terminated: DataFrame | N
     return live.join(ready.select("cluster"), "cluster", "left_semi").select("owner")
 
 
+def run_lock_step(owners: DataFrame, cluster: DataFrame, update: Callable[[Column, Column, int], Column], ready: Callable[[Column], Column], max_steps: int = 100, total: Callable[[Column], Column] = lambda v: v) -> DataFrame:
+    """owner, cluster, value, steps: owners (owner, value) that exchange in lock step until they terminate.
+
+    Each step every live member takes ``update(its value, the sum of ``total`` over its cluster's live members, step)``. A cluster ends
+    after a step in which ``ready`` (over a value) holds for all its live members; ended owners keep their values and take
+    no part any more."""
+    state = cut(owners.join(cluster, "owner").select("owner", "cluster", "value", F.lit(0).alias("steps"), F.lit(True).alias("live")))
+    w = Window.partitionBy("cluster")
+    for step in range(max_steps):
+        new = state.withColumn("t", F.sum(F.when(F.col("live"), total(F.col("value")))).over(w)).withColumn("value", F.when(F.col("live"), update(F.col("value"), F.col("t"), step)).otherwise(F.col("value")))
+        done = F.min(F.when(F.col("live"), F.coalesce(ready(F.col("value")), F.lit(False)))).over(w)
+        before, state = state, cut(new.withColumn("done", done).select("owner", "cluster", "value", (F.col("steps") + F.col("live").cast("int")).alias("steps"), (F.col("live") & ~F.coalesce("done", F.lit(True))).alias("live")))
+        release(before)
+        if state.where("live").isEmpty():
+            break
+    return state.select("owner", "cluster", "value", "steps")
+
+
 def pending_messages(steps: DataFrame) -> DataFrame:
     """cluster, pending: messages sent and not received yet, from rows (cluster, sent, received)."""
     return steps.groupBy("cluster").agg((F.sum("sent") - F.sum("received")).alias("pending"))

@@ -93,6 +93,18 @@ def khop(adjacency: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return seen
 
 
+def halo(adjacency: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
+    """owner, id, dist: the vertices of others that lie within ``k`` hops of an owner's own; of vertices (id, owner)."""
+    a, own = adjacency.select("src", "dst").distinct(), vertices.select("owner", "id")
+    seen = cut(own.withColumn("dist", F.lit(0)))
+    for hop in range(1, k + 1):
+        front = seen.where(F.col("dist") == hop - 1).select("owner", F.col("id").alias("src"))
+        new = front.join(a, "src").select("owner", F.col("dst").alias("id")).distinct().join(seen, ["owner", "id"], "left_anti").withColumn("dist", F.lit(hop))
+        before, seen = seen, cut(seen.unionByName(new))
+        release(before)
+    return seen.where("dist > 0").join(own.select("id"), "id", "left_semi").select("owner", "id", "dist")
+
+
 def downstream(adjacency: DataFrame, changed: DataFrame) -> DataFrame:
     """id: vertices that become active when those of ``changed`` (column id) change: their neighbours over edges that
     aren't inbound only."""

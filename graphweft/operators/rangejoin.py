@@ -86,6 +86,29 @@ def range_join(left: DataFrame, right: DataFrame, columns: Sequence[str], radius
     return pairs.where(near if predicate is None else near & predicate)
 
 
+def bucket_join(left: DataFrame, right: DataFrame, bucket: Callable[[Callable[[str], Column]], Column], interacting: Callable[[Column], Column], predicate: Column, equal: Sequence[tuple[Column, Column]] = ()) -> DataFrame:
+    """Pairs (a, b) for which ``predicate`` (over a.* and b.*) holds and whose buckets may interact: ``interacting`` gives the
+    array of buckets that a bucket may interact with, which counts both ways whichever side names the other. ``bucket`` makes
+    a row's bucket from a function that gives its columns; rows whose bucket is null are in none."""
+    col = lambda side: (lambda c: F.col(side)[c])
+    a = left.select(F.struct(*left.columns).alias("a")).withColumn("ka", bucket(col("a"))).where("ka is not null")
+    b = right.select(F.struct(*right.columns).alias("b")).withColumn("kb", bucket(col("b"))).where("kb is not null")
+    same = F.lit(True)
+    for x, y in equal:
+        same = same & (x == y)
+    one = a.withColumn("k", F.explode(F.array_distinct(interacting(F.col("ka"))))).join(b, (F.col("k") == F.col("kb")) & same)
+    two = b.withColumn("k", F.explode(F.array_distinct(interacting(F.col("kb"))))).join(a, (F.col("k") == F.col("ka")) & same)
+    only_two = two.where(~F.array_contains(interacting(F.col("ka")), F.col("kb")))
+    return one.select("a", "b").unionByName(only_two.select("a", "b")).where(predicate)
+
+
+def containment_edges(inside: DataFrame, places: DataFrame) -> DataFrame:
+    """src, dst, dir: from each thing to the place it is in one step later, and from the place to the thing one step later.
+    inside: id, t, place; places: id, t, place."""
+    one = lambda x, y: x.select(F.col("id").alias("src"), (F.col("t") + 1).alias("t"), "place").join(y.select(F.col("id").alias("dst"), "t", "place"), ["t", "place"]).select("src", "dst", F.lit(OUT).cast("tinyint").alias("dir"))
+    return one(inside, places).unionByName(one(places, inside))
+
+
 def band_join(left: DataFrame, right: DataFrame, column: str, width: float, equal: Sequence[tuple[Column, Column]] = ()) -> DataFrame:
     """Pairs (a, b) whose ``column`` differs by at most ``width``."""
     return candidate_pairs(left, right, Grid((column,), float(width)), equal).where(F.abs(F.col("a")[column] - F.col("b")[column]) <= F.lit(float(width)))

@@ -77,6 +77,24 @@ def pair_row(r: DataFrame) -> DataFrame:
     return r.groupBy("i").agg(F.array_sort(F.collect_set("j")).alias("row"))
 
 
+def relation_at(log: DataFrame, seq: int | None = None) -> DataFrame:
+    """i, j, seq: the pairs that are set, from a log of changes (i, j, seq, on: set or cleared), as of ``seq`` or of the last;
+    each with the number of the change that set it. Of equal numbers a clearing stands."""
+    seen = log if seq is None else log.where(F.col("seq") <= seq)
+    last = seen.groupBy("i", "j").agg(F.max(F.struct("seq", (~F.col("on")).alias("off"))).alias("l"))
+    return last.where("not l.off").select("i", "j", F.col("l.seq").alias("seq"))
+
+
+def row_versions(log: DataFrame) -> DataFrame:
+    """i, seq: the number of each row's last change; a copy of the row with a lower number is out of date."""
+    return log.groupBy("i").agg(F.max("seq").alias("seq"))
+
+
+def chunk_owner(i: Column, n: int, owners: int) -> Column:
+    """The owner of row ``i`` of ``n`` dealt out in equal chunks."""
+    return F.floor(i / -(-n // owners)).cast("int")
+
+
 def window_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """key, change: what stopped, continues and is new between two sets of keys, in one pass over both."""
     k = old.columns[0]

@@ -51,6 +51,13 @@ _COMPONENTS = f"WITH RECURSIVE {GRAPH}, r(v, l) AS (SELECT DISTINCT s, s FROM ad
 _TRIANGLES = f"WITH {GRAPH}, p AS (SELECT s, t FROM g WHERE s < t), tri AS (SELECT x.s AS a, x.t AS b, y.t AS c FROM p x JOIN p y ON x.t = y.s JOIN p z ON z.s = x.s AND z.t = y.t) "
 RADIUS = 300.0
 
+
+def draw(*keys: str) -> str:
+    """SQL of the number that ``scalars.uniform`` draws for these keys."""
+    return f"(('0x' || substr(md5({' || $$|$$ || '.join(keys)}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -442,19 +449,64 @@ def pursuit(spark: SparkSession, d: str) -> DataFrame:
     return simulation.pursuit(spark, 12)
 
 
-@query()
+def _nbody_sql(steps: int, r: float) -> str:
+    parts = [f"WITH {GRAPH}, k0 AS (SELECT id, px / 120 AS px, py / 120 AS py, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy FROM vx WHERE isfinite(px) AND isfinite(py))"]
+    fold = "((({0}) % 100.0) + 100.0) % 100.0"
+    for t in range(steps):
+        pull = "sum(CASE WHEN b.{0} <> a.{0} THEN 1 / (b.{0} - a.{0}) ELSE 0 END)"
+        parts.append(f"""f{t} AS (SELECT a.id, {pull.format("px")} AS fx, {pull.format("py")} AS fy FROM k{t} a JOIN k{t} b ON a.id <> b.id AND b.px BETWEEN a.px - {r} AND a.px + {r} AND b.py BETWEEN a.py - {r} AND a.py + {r}
+          WHERE (a.px - b.px) ^ 2 + (a.py - b.py) ^ 2 < {r * r} GROUP BY a.id),
+        c{t} AS (SELECT id, CASE WHEN m > 0.001 THEN fx * 0.001 / m ELSE fx END AS fx, CASE WHEN m > 0.001 THEN fy * 0.001 / m ELSE fy END AS fy FROM (SELECT *, sqrt(fx * fx + fy * fy) AS m FROM f{t})),
+        w{t} AS (SELECT id, px, py, vx + coalesce(fx, 0) AS vx, vy + coalesce(fy, 0) AS vy FROM k{t} LEFT JOIN c{t} USING (id)),
+        k{t + 1} AS (SELECT id, {fold.format("px + vx")} AS px, {fold.format("py + vy")} AS py, vx, vy FROM w{t})""")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {t} AS t, id, round(px, 7) AS px, round(py, 7) AS py, round(vx, 6) AS vx, round(vy, 6) AS vy FROM k{t}" for t in range(steps + 1))
+
+
+@query(_nbody_sql(5, 0.25))
 def nbody(spark: SparkSession, d: str) -> DataFrame:
     """Q9: five steps of the particles of all dumps, folded into the domain."""
     ok = rangejoin.Grid(("px", "py"), 1.0)
     p = trace_vertices(spark, d).where(ok.usable()).select("id", (F.col("px") / 120).alias("px"), (F.col("py") / 120).alias("py"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
-    return simulation.nbody(p, 5, radius=0.25)
+    return simulation.nbody(p, 5, radius=0.25).select("t", "id", F.round("px", 7).alias("px"), F.round("py", 7).alias("py"), F.round("vx", 6).alias("vx"), F.round("vy", 6).alias("vy"))
 
 
-@query()
+def _patch_sql(steps: int, m: simulation.PatchModel) -> str:
+    """The epidemic of patches and agents, its substeps as a recursion."""
+    w, h = m.width, m.height
+    risk = "CASE activity " + " ".join(f"WHEN {i} THEN {a}e0" for i, a in enumerate(m.alpha)) + " END"
+    parts = [f"WITH RECURSIVE p0 AS (SELECT range AS patch_id, 900e0 AS sv, 0e0 AS ev, 100e0 AS iv FROM range({w * h})), a0 AS (SELECT c_custkey AS agent_id, c_custkey * 7919 % {w * h} AS patch, c_custkey * 7919 % {w * h} AS home, CASE WHEN c_custkey % 50 = 0 THEN 2 ELSE 0 END AS health, c_custkey % 4 AS activity, 0.5e0 AS stay FROM customer)"]
+    dt, mu, nu, r_v = m.dt_v, m.mu_v, m.nu_v, m.psi_v - m.mu_v
+    for t in range(steps):
+        u = lambda k: draw("agent_id", str(t), "0", f"'{k}'")  # noqa: B023, E731
+        around = f"greatest(home // {w} - 1, 0) AS r0, least(home // {w} + 1, {h - 1}) AS r1, greatest(home % {w} - 1, 0) AS c0, least(home % {w} + 1, {w - 1}) AS c1"
+        parts.append(f"""n{t} AS (SELECT patch AS patch_id, sum({risk}) AS nhh, sum(CASE WHEN health = 2 THEN {risk} ELSE 0e0 END) AS ihh FROM a{t} GROUP BY patch),
+        q{t}(k, patch_id, s, e, i, n, nhh, ihh) AS (SELECT 0, patch_id, sv, ev, iv, sv + ev + iv, coalesce(nhh, 0e0), coalesce(ihh, 0e0) FROM p{t} LEFT JOIN n{t} USING (patch_id) UNION ALL
+          SELECT k + 1, patch_id, sn, en, jn, sn + en + jn, nhh, ihh FROM (
+          SELECT *, i + (j1 + 2 * (j2 + j3) + j4) / 6 AS jn FROM (SELECT *, {dt} * ({nu} * (en + e3) - {mu} * (i + j3)) AS j4 FROM (SELECT *, {dt} * ({nu} * (en + 0.5e0 * e2) - {mu} * (i + 0.5e0 * j2)) AS j3 FROM (
+          SELECT *, {dt} * ({nu} * (en + 0.5e0 * e1) - {mu} * (i + 0.5e0 * j1)) AS j2 FROM (SELECT *, {dt} * ({nu} * en - {mu} * i) AS j1 FROM (
+          SELECT *, e + (e1 + 2 * (e2 + e3) + e4) / 6 AS en FROM (SELECT *, {dt} * (f * (sn + k3) - {nu + mu} * (e + e3)) AS e4 FROM (SELECT *, {dt} * (f * (sn + 0.5e0 * k2) - {nu + mu} * (e + 0.5e0 * e2)) AS e3 FROM (
+          SELECT *, {dt} * (f * (sn + 0.5e0 * k1) - {nu + mu} * (e + 0.5e0 * e1)) AS e2 FROM (SELECT *, {dt} * (f * sn - {nu + mu} * e) AS e1 FROM (
+          SELECT *, s + (k1 + 2 * (k2 + k3) + k4) / 6 AS sn FROM (SELECT *, {dt} * (born - (f + {mu}) * (s + k3)) AS k4 FROM (SELECT *, {dt} * (born - (f + {mu}) * (s + 0.5e0 * k2)) AS k3 FROM (
+          SELECT *, {dt} * (born - (f + {mu}) * (s + 0.5e0 * k1)) AS k2 FROM (SELECT *, {dt} * (born - (f + {mu}) * s) AS k1 FROM (
+          SELECT *, ({m.psi_v}e0 - {r_v} * n / {m.k_v}e0) * n AS born, CASE WHEN n > 0 AND nhh > 0 THEN {m.sigma_v}e0 * n * {m.sigma_h}e0 * nhh / ({m.sigma_v}e0 * n + {m.sigma_h}e0 * nhh) / n * {m.beta_hv}e0 * (ihh / nhh) ELSE 0e0 END AS f
+          FROM q{t} WHERE k < {m.substeps}))))))))))))))))),
+        f{t} AS (SELECT *, CASE WHEN nhh > 0 AND n > 0 THEN {m.sigma_v}e0 * n * {m.sigma_h}e0 * nhh / ({m.sigma_v}e0 * n + {m.sigma_h}e0 * nhh) / nhh * {m.beta_vh}e0 * i / n ELSE 0e0 END AS lam FROM q{t} WHERE k = {m.substeps}),
+        p{t + 1} AS (SELECT patch_id, s AS sv, e AS ev, i AS iv FROM f{t}),
+        b{t} AS (SELECT a.*, {around}, {u("catch")} < 1 - exp(-coalesce(lam, 0) * {risk} * {m.dt_h}e0) AS caught, floor({u("where")} * ((r1 - r0 + 1) * (c1 - c0 + 1)))::BIGINT AS j FROM a{t} a LEFT JOIN f{t} ON patch_id = a.patch),
+        a{t + 1} AS (SELECT agent_id, CASE WHEN stay <= {m.dt_h}e0 THEN (r0 + j // (c1 - c0 + 1)) * {w} + c0 + j % (c1 - c0 + 1) ELSE patch END AS patch, home,
+          CASE WHEN health = 0 AND caught THEN 1 WHEN health = 1 AND {u("turn")} < 1 - exp(-{m.dt_h}e0 * {m.nu_h}e0) THEN 2 WHEN health = 2 AND {u("heal")} < 1 - exp(-{m.dt_h}e0 * {m.mu_h}e0) THEN 3 ELSE health END AS health,
+          CASE WHEN stay <= {m.dt_h}e0 THEN floor({u("what")} * {len(m.alpha)})::BIGINT ELSE activity END AS activity, CASE WHEN stay <= {m.dt_h}e0 THEN -ln(1 - {u("stay")}) * {m.stay}e0 ELSE stay - {m.dt_h}e0 END AS stay FROM b{t})""")
+    return ", ".join(parts) + f" SELECT health::INTEGER AS health, count(*) AS n, sum(patch)::BIGINT AS places, sum(activity)::BIGINT AS activities FROM a{steps} GROUP BY health"
+
+
+_PATCHES = simulation.PatchModel(width=16, height=16)
+
+
+@query(_patch_sql(5, _PATCHES))
 def patch_epidemic(spark: SparkSession, d: str) -> DataFrame:
-    """Q11: two steps of the vector-borne epidemic with every customer as an agent."""
-    m = simulation.PatchModel(width=16, height=16)
-    patches = spark.range(256).select(F.col("id").alias("patch_id"), F.lit(900.0).alias("sv"), F.lit(0.0).alias("ev"), F.lit(100.0).alias("iv"))
-    home = F.pmod(F.xxhash64("c_custkey"), F.lit(256))
+    """Q11: five steps of the vector-borne epidemic with every customer as an agent."""
+    n = _PATCHES.width * _PATCHES.height
+    patches = spark.range(n).select(F.col("id").alias("patch_id"), F.lit(900.0).alias("sv"), F.lit(0.0).alias("ev"), F.lit(100.0).alias("iv"))
+    home = F.col("c_custkey") * 7919 % n
     agents = table(spark, d, "customer").select(F.col("c_custkey").alias("agent_id"), home.alias("patch"), home.alias("home"), F.when(F.col("c_custkey") % 50 == 0, 2).otherwise(0).alias("health"), (F.col("c_custkey") % 4).cast("int").alias("activity"), F.lit(0.5).alias("stay"))
-    return simulation.patch_epidemic(patches, agents, 2, m)[1].groupBy("health").agg(F.count("*").alias("n"))
+    return simulation.patch_epidemic(patches, agents, 5, _PATCHES)[1].groupBy("health").agg(F.count("*").alias("n"), F.sum("patch").alias("places"), F.sum("activity").alias("activities"))

@@ -9,7 +9,7 @@ from graphweft import model
 from graphweft.analytics import bursts, simulation
 from graphweft.functions import scalars, sketches
 from graphweft.operators import bsp, neighbors, sets, similarity
-from graphweft.plans.graphs import GRAPH, trace_adjacency, trace_edges, trace_vertices
+from graphweft.plans.graphs import GRAPH, draw, trace_adjacency, trace_edges, trace_vertices
 from graphweft.session import table
 from graphweft.sources import generators
 
@@ -193,27 +193,29 @@ def message_mail(spark: SparkSession, d: str) -> DataFrame:
     return bsp.deliver(mail, adj.select(F.col("src").alias("id")).distinct()).select("id", F.col("mail")[0]["seq"].alias("newest"), F.size("mail").alias("messages"))
 
 
-@query("""WITH l AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey), d AS (SELECT src, count(*) AS out FROM l GROUP BY src)
-SELECT n_name, round(0.15 / 25 + 0.85 * sum(1.0 / 25 / out), 6) AS rank FROM l JOIN d USING (src) JOIN nation ON n_nationkey = dst GROUP BY n_name""")
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey),
+od AS (SELECT src, count(*) AS out FROM l GROUP BY src), ids AS (SELECT src AS id FROM l UNION SELECT dst FROM l), n AS (SELECT count(*)::DOUBLE AS n FROM ids),
+r(k, id, x) AS (SELECT 0, id, 1 / n FROM ids, n UNION ALL SELECT k, id, 0.15e0 / n + 0.85e0 * sum(x) FROM (SELECT r.k + 1 AS k, l.dst AS id, r.x / od.out AS x FROM r JOIN l ON l.src = r.id JOIN od ON od.src = r.id WHERE r.k < 60 UNION ALL SELECT r.k + 1, r.id, 0e0 FROM r WHERE r.k < 60) q, n GROUP BY k, id, n),
+moved AS (SELECT b.k, max(abs(b.x - a.x)) AS most FROM r a JOIN r b ON b.id = a.id AND b.k = a.k + 1 GROUP BY b.k), last AS (SELECT min(k) AS k FROM moved WHERE most <= 1e-4 / (SELECT count(*) FROM nation))
+SELECT n_name, round(x, 6) AS rank FROM r JOIN last USING (k) JOIN nation ON n_nationkey = id""")
 def rank_names(spark: SparkSession, d: str) -> DataFrame:
     """Ranks over trade between nations, with their names, until none moves by more than 1e-4 of the mean rank (the
-    tolerance for ranks of mean 1). The SQL is still that of a single superstep; see REPLY_r01.md."""
+    tolerance for ranks of mean 1)."""
     t = lambda n: table(spark, d, n)
     trade = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
     rank = bsp.pagerank(trade.select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")), 100, tolerance=1e-4 / max(t("nation").count(), 1))
     return t("nation").join(rank, F.col("n_nationkey") == F.col("id")).select("n_name", F.round("rank", 6).alias("rank"))
 
 
-@query("SELECT run_id, max(struct_pack(a := timestep, b := total)).b AS last_total, sum(nneighbors)::BIGINT AS visits, round(1000.0 * count(*) / sum(CASE WHEN isfinite(total) AND total > 0 THEN total END), 6) AS per_second FROM (SELECT DISTINCT ON (record_id) * FROM perf_records WHERE isfinite(total) AND pe = 0) GROUP BY run_id")
+@query("WITH u AS (SELECT DISTINCT ON (record_id) * FROM perf_records WHERE total >= 0 AND total < 1e12), p AS (SELECT run_id, pe, max(struct_pack(a := timestep, b := total)).b AS last_total, sum(nneighbors) AS visits, count(*) AS n, sum(total) AS ms FROM u GROUP BY run_id, pe) SELECT run_id, round(sum(last_total), 4) AS last_total, sum(visits)::BIGINT AS visits, round(1000.0 * sum(n) / nullif(sum(ms), 0), 6) AS per_second FROM p GROUP BY run_id")
 def throughput_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The last readings of all PEs of each run added up, its visits and its rate; unreadable totals are left out.
-
-    The SQL is still that of the first PE alone and gives other rows; see REPLY_r01.md."""
-    p = table(spark, d, "perf_records").where("total is not null and not isnan(total) and abs(total) < double('inf')")
+    """The last readings of all PEs of each run added up, its visits and its rate; totals that can't be read, are negative
+    or of more than thirty years (1e12 ms) are left out."""
+    p = table(spark, d, "perf_records").where("total >= 0 and total < 1e12")
     once = p.groupBy("record_id").agg(*[F.max(c).alias(c) for c in ("run_id", "pe", "timestep", "total", "nneighbors")])
-    sound = F.sum(F.when(F.col("total") > 0, F.col("total")))
-    by_pe = once.groupBy("run_id", "pe").agg(F.max(F.struct("timestep", "total"))["total"].alias("last_total"), F.sum("nneighbors").alias("visits"), F.count("*").alias("n"), sound.alias("ms"))
-    return by_pe.groupBy("run_id").agg(F.round(F.sum("last_total"), 6).alias("last_total"), F.sum("visits").alias("visits"), F.round(1000.0 * F.sum("n") / F.sum("ms"), 6).alias("per_second"))
+    by_pe = once.groupBy("run_id", "pe").agg(F.max(F.struct("timestep", "total"))["total"].alias("last_total"), F.sum("nneighbors").alias("visits"), F.count("*").alias("n"), F.sum("total").alias("ms"))
+    rate = F.when(F.sum("ms") > 0, 1000.0 * F.sum("n") / F.sum("ms"))
+    return by_pe.groupBy("run_id").agg(F.round(F.sum("last_total"), 4).alias("last_total"), F.sum("visits").alias("visits"), F.round(rate, 6).alias("per_second"))
 
 
 @query("SELECT app, round(avg(total), 4) AS total, round(avg(edges), 4) AS edges, count(*) AS n FROM (SELECT DISTINCT ON (record_id) app, total, edges FROM perf_records) WHERE total BETWEEN 0 AND 1e6 AND edges BETWEEN 0 AND 1e6 GROUP BY app")
@@ -229,13 +231,15 @@ def ring_input(spark: SparkSession, d: str) -> DataFrame:
     return generators.ring(spark, 1000)
 
 
-@query()
+@query(f"""WITH u AS (SELECT id, bit, {draw("id", "bit", "2")} AS u FROM range(65536) e(id), range(12) b(bit)),
+e AS (SELECT id, sum(CASE WHEN u >= 0.76 THEN 1 << (11 - bit) ELSE 0 END) AS src, sum(CASE WHEN (u >= 0.57 AND u < 0.76) OR u >= 0.95 THEN 1 << (11 - bit) ELSE 0 END) AS dst FROM u GROUP BY id),
+g AS (SELECT src AS s, dst AS t FROM e UNION SELECT dst, src FROM e), d AS (SELECT s, count(*) AS degree FROM g GROUP BY s) SELECT degree, count(*) AS vertices FROM d GROUP BY degree""")
 def kronecker(spark: SparkSession, d: str) -> DataFrame:
     """A deterministic R-MAT graph, by degree."""
     return neighbors.degrees(model.adjacency(model.canonical_edges(generators.kronecker(spark, 12)))).groupBy("degree").agg(F.count("*").alias("vertices"))
 
 
-@query()
+@query(f"SELECT 4 * count(*) FILTER ({draw('range', '0', chr(39) + 'x' + chr(39))} ^ 2 + {draw('range', '0', chr(39) + 'y' + chr(39))} ^ 2 <= 1) / 1000000.0 AS pi FROM range(1000000)")
 def pi(spark: SparkSession, d: str) -> DataFrame:
     """Q24: pi by hashed points."""
     return simulation.pi_estimate(spark, 1_000_000)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the checkpoint folder, for files that a query writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def release(df: DataFrame) -> None:
     """Deletes what :func:`cut` wrote for ``df``, which must not be read again; does nothing for other DataFrames."""
     plan = df._jdf.queryExecution().analyzed()

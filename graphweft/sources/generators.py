@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft import model
@@ -29,17 +31,29 @@ def actors(spark: SparkSession, n: int, dim: tuple[float, float], infected: int
     return at.select("actor", "px", "py", to("px", "u", dim[0]).alias("dst_x"), to("py", "v", dim[1]).alias("dst_y"), (F.col("actor") < infected).cast("int").alias("infected"))
 
 
-def vertex_stream(spark: SparkSession, steps: int, owners: int, per_step: tuple[int, int], dim: tuple[int, int, int], seed: int = 123) -> DataFrame:
+def vertex_stream(spark: SparkSession, steps: int, owners: int, per_step: tuple[int, int], dim: tuple[int, int, int], seed: int = 123, spread: str = "uniform") -> DataFrame:
     """step, owner, id, x, y, z: between least and most new vertices per owner and step, integer coordinates in the owner's
-    slice of the first axis."""
+    slice of the first axis: ``uniform`` over it, all at its middle (``point``), or ``gaussian`` around it with a sixth of
+    each side as deviation, clamped."""
     least, most = per_step
     width = dim[0] / owners
     slots = spark.range(steps * owners).select((F.col("id") / owners).cast("int").alias("step"), (F.col("id") % owners).cast("int").alias("owner"))
     many = (F.floor(uniform("step", "owner", F.lit(seed), F.lit("n")) * (most - least)) + least).cast("int")
     rows = slots.withColumn("n", many).where("n > 0").select("step", "owner", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
     draw = lambda axis: uniform("step", "owner", "k", F.lit(seed), F.lit(axis))
-    x = F.floor(F.col("owner") * width + draw("x") * width).cast("double")
-    return rows.select("step", "owner", model.make_id(F.col("owner"), F.col("step") * most + F.col("k")).alias("id"), x.alias("x"), F.floor(draw("y") * dim[1]).cast("double").alias("y"), F.floor(draw("z") * dim[2]).cast("double").alias("z"))
+    if spread not in ("uniform", "point", "gaussian"):
+        raise ValueError(f"no such spread: {spread}")
+
+    def share(axis: str) -> Column:
+        if spread == "point":
+            return F.lit(0.5)
+        if spread == "uniform":
+            return draw(axis)
+        normal = F.sqrt(-2 * F.log1p(-draw(axis))) * F.cos(2 * math.pi * draw(axis + "'"))
+        return F.least(F.greatest(0.5 + normal / 6, F.lit(0.0)), F.lit(1 - 1e-9))
+
+    x = F.floor(F.col("owner") * width + share("x") * width).cast("double")
+    return rows.select("step", "owner", model.make_id(F.col("owner"), F.col("step") * most + F.col("k")).alias("id"), x.alias("x"), F.floor(share("y") * dim[1]).cast("double").alias("y"), F.floor(share("z") * dim[2]).cast("double").alias("z"))
 
 
 def edge_stream(spark: SparkSession, steps: int, owners: int, edges_per_step: int, vertices_per_owner: int, seed: int = 123) -> DataFrame:

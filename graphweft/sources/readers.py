@@ -1,28 +1,86 @@
-"""Readers of the graph formats: binary actors, community CSV, binary graphs, Matrix Market, text edges."""
+"""Readers and writers of the graph formats: binary actors, community CSV, binary graphs, Matrix Market, text edges.
+
+Spark lists the files; binary ranges are read and written by the tasks through Arrow's file systems, by URI, so a file may
+lie wherever both reach it. A large file is read in ranges by many tasks, and each partition writes a file of its own.
+"""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphweft.functions.scalars import uniform
+
 #: Bytes of a file that a task reads at once.
 PIECE = 64 << 20
 
 
-def _pieces(spark: SparkSession, path: str, unit: int, header: int = 0, count: int | None = None) -> DataFrame:
-    """path, start, stop: byte ranges of whole units of the files at ``path`` (folder, file or glob that executors can
-    read), so that one large file is read by many tasks."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length"))
-    end = F.col("length") if count is None else F.least(F.col("length"), F.lit(header + count * unit))
-    step = max(unit, PIECE // unit * unit)
-    n = F.greatest(F.ceil((end - header) / step), F.lit(0))
-    starts = files.select("path", end.alias("end"), n.alias("n")).where("n > 0").select("path", "end", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    return starts.select("path", (F.col("k") * step + header).alias("start"), F.least((F.col("k") + 1) * step + header, F.col("end")).alias("stop")).repartition("path", "start")
+def uri_of(path: str) -> str:
+    """A path as a URI; one without a scheme is local."""
+    if path.startswith("file:"):
+        return "file:///" + path[5:].lstrip("/")
+    return path if "://" in path else "file://" + os.path.abspath(path)
+
+
+def _read(uri: str, at: int, size: int) -> bytes:
+    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        f.seek(at)
+        return f.read(size)
+
+
+def _numbers(uri: str, at: int, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(_read(uri, at, n * width), dtype=f"<i{width}").astype(np.int64)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """path (a URI), length of the files at ``path``: a folder, file or glob."""
+    return spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), "length")
+
+
+def _pieces(files: DataFrame, n: str, unit: int) -> DataFrame:
+    """The files' columns with start, stop: ranges of their ``n`` records of ``unit`` bytes, a row and a task each."""
+    step = max(1, PIECE // unit)
+    ranges = files.where(F.col(n) > 0).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(step).cast("long"))))
+    return ranges.withColumn("stop", F.least(F.col("start") + step, F.col(n))).repartition("path", "start")
+
+
+def _with_header(files: DataFrame, names: list[str], width: int) -> DataFrame:
+    """The files with the whole numbers at their beginning; files too short for them are left out."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = [(p, *_numbers(p, 0, len(names), width).tolist()) for p, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if size >= len(names) * width]
+            if heads:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*heads)], names=["path", *names])
+
+    return files.mapInArrow(read, "path string, " + ", ".join(f"{n} long" for n in names))
+
+
+def write_parts(rows: DataFrame, folder: str, encode: Callable[[pa.Table], dict[str, bytes]]) -> int:
+    """Each partition as files <folder>/part-<number><suffix> of what ``encode`` makes of its rows (suffix -> bytes); the
+    number of rows written. A partition must fit its task; a task that runs again writes the same files again."""
+    uri = uri_of(folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        n = sum(b.num_rows for b in got)
+        if n:
+            fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+            fs.create_dir(path, recursive=True)
+            for suffix, data in encode(pa.Table.from_batches(got)).items():
+                with fs.open_output_stream(f"{path}/part-{TaskContext.get().partitionId():05d}{suffix}") as f:
+                    f.write(data)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return rows.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def read_actors(spark: SparkSession, path: str, cell: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -31,19 +89,23 @@ def read_actors(spark: SparkSession, path: str, cell: tuple[float, float, float,
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, start, stop in zip(*(c.to_pylist() for c in b.columns)):
-                with open(p, "rb") as f:
-                    f.seek(start)
-                    raw = f.read((stop - start) // 48 * 48)
-                x = np.frombuffer(raw, dtype="<f8").reshape(-1, 6)
+            for p, start, stop in zip(*(b.column(c).to_pylist() for c in ("path", "start", "stop"))):
+                x = np.frombuffer(_read(p, start * 48, (stop - start) * 48), dtype="<f8").reshape(-1, 6)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int64)), *(pa.array(x[:, i]) for i in (1, 2, 3, 4)), pa.array(x[:, 5].astype(np.int32))], names=["actor", "px", "py", "dst_x", "dst_y", "infected"])
 
-    rows = _pieces(spark, path, 48).mapInArrow(read, "actor long, px double, py double, dst_x double, dst_y double, infected int")
+    files = _files(spark, path).withColumn("n", F.floor(F.col("length") / 48))
+    rows = _pieces(files, "n", 48).mapInArrow(read, "actor long, px double, py double, dst_x double, dst_y double, infected int")
     if cell is None:
         return rows
     return rows.where((F.col("px") >= cell[0]) & (F.col("px") < cell[1]) & (F.col("py") >= cell[2]) & (F.col("py") < cell[3]))
 
 
+def write_actors(actors: DataFrame, folder: str) -> int:
+    """The actors as binary records, a file per partition; null attributes are written as NaN."""
+    rows = actors.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in ("actor", "px", "py", "dst_x", "dst_y", "infected")])
+    return write_parts(rows, folder, lambda t: {".bin": np.column_stack([t[c].to_numpy() for c in t.column_names]).astype("<f8").tobytes()})
+
+
 def lenient_number(text: F.Column) -> F.Column:
     """The number a text begins with, 0 if it begins with none: what C's atof makes of it, exponents included."""
     head = F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
@@ -59,78 +121,90 @@ def read_points(spark: SparkSession, path: str, owners: int = 1) -> DataFrame:
     return lines.select(field(3).cast("long").alias("id"), F.pmod(F.xxhash64("value"), F.lit(owners)).cast("int").alias("owner"), field(0).alias("x"), field(1).alias("y"), field(2).alias("z"))
 
 
-def _header(path: str, n: int, width: int) -> list[int]:
-    with open(path, "rb") as f:
-        return np.frombuffer(f.read(n * width), dtype=f"<i{width}").astype(np.int64).tolist()
+def owner_of_vertex(v: F.Column, vertices: int, owners: int) -> F.Column:
+    """The owner of a vertex when vertices are dealt out in equal ranges."""
+    return F.floor(v / -(-vertices // owners)).cast("int")
 
 
-def _columns(spark: SparkSession, path: str, width: int, at: int, n: int, name: str) -> DataFrame:
-    """k, name: ``n`` numbers of ``width`` bytes from byte ``at``, with their place."""
+def _read_edges(pieces: DataFrame, src: Callable[[dict], tuple[str, int]], dst: Callable[[dict], tuple[str, int]], width: int, vertices: str, owners: int) -> DataFrame:
+    """k, src, dst and their owners of the ranges of ``pieces``, k being the place in the file; ``src`` and ``dst`` give the file and first byte of an end's
+    numbers."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, start, stop in zip(*(c.to_pylist() for c in b.columns)):
-                with open(p, "rb") as f:
-                    f.seek(start)
-                    x = np.frombuffer(f.read(stop - start), dtype=f"<i{width}").astype(np.int64)
-                first = (start - at) // width
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(x))), pa.array(x)], names=["k", name])
+            for r in b.to_pylist():
+                ends = [_numbers(f, at + r["start"] * width, r["stop"] - r["start"], width) for f, at in (src(r), dst(r))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(r["start"], r["stop"])), *map(pa.array, ends), pa.array(np.full(len(ends[0]), r[vertices]))], names=["k", "src", "dst", "m"])
 
-    return _pieces(spark, path, width, at, n).mapInArrow(read, f"k long, {name} long")
+    pairs = pieces.mapInArrow(read, "k long, src long, dst long, m long")
+    owner = lambda v: F.floor(F.col(v) / F.ceil(F.col("m") / owners)).cast("int")
+    return pairs.select("k", "src", "dst", owner("src").alias("src_owner"), owner("dst").alias("dst_owner"))
 
 
-def owner_of_vertex(v: F.Column, vertices: int, owners: int) -> F.Column:
-    """The owner of a vertex when vertices are dealt out in equal ranges."""
-    return F.floor(v / -(-vertices // owners)).cast("int")
+def read_binary_graph(spark: SparkSession, path: str, int_width: int = 8, owners: int = 1) -> DataFrame:
+    """src, dst, src_owner, dst_owner of whole graphs (a file, folder or glob of them): M, N, nz, then nz rows and nz columns.
+    ``int_width``: 8, or 4 for files made from Matrix Market by the narrow writer."""
+    files = _with_header(_files(spark, path), ["m", "n", "nz"], int_width)
+    head = 3 * int_width
+    return _read_edges(_pieces(files, "nz", int_width), lambda r: (r["path"], head), lambda r: (r["path"], head + r["nz"] * int_width), int_width, "m", owners).drop("k")
 
 
-def read_binary_graph(spark: SparkSession, path: str, int_width: int = 8, owners: int = 1) -> DataFrame:
-    """src, dst, src_owner, dst_owner of a whole graph: M, N, nz, then nz rows and nz columns. ``int_width``: 8, or 4 for
-    files made from Matrix Market by the narrow writer."""
-    m, _, nz = _header(path, 3, int_width)
-    at = 3 * int_width
-    pairs = _columns(spark, path, int_width, at, nz, "src").join(_columns(spark, path, int_width, at + nz * int_width, nz, "dst"), "k")
-    return pairs.select("src", "dst", owner_of_vertex(F.col("src"), m, owners).alias("src_owner"), owner_of_vertex(F.col("dst"), m, owners).alias("dst_owner"))
+def write_binary_graph(edges: DataFrame, folder: str, vertices: int, int_width: int = 8) -> int:
+    """Edges (src, dst) in the whole-graph format, a file per partition with the edges it has."""
+    head = lambda t: np.array([vertices, vertices, t.num_rows], dtype=f"<i{int_width}").tobytes()
+    return write_parts(edges.select("src", "dst"), folder, lambda t: {".graph": head(t) + b"".join(t[c].to_numpy().astype(f"<i{int_width}").tobytes() for c in ("src", "dst"))})
 
 
 def read_partitioned_graph(spark: SparkSession, stem: str, owners: int = 1) -> DataFrame:
-    """k, src, dst, owners of one owner's part: files <stem>_0 and <stem>_1, each M, N, nz, n, then n end points."""
-    ends = []
-    for i, name in ((0, "src"), (1, "dst")):
-        m, _, _, n = _header(f"{stem}_{i}", 4, 8)
-        ends.append(_columns(spark, f"{stem}_{i}", 8, 32, n, name))
-    return ends[0].join(ends[1], "k").select("k", "src", "dst", owner_of_vertex(F.col("src"), m, owners).alias("src_owner"), owner_of_vertex(F.col("dst"), m, owners).alias("dst_owner"))
-
-
-def write_binary_graph(edges: DataFrame, path: str, vertices: int) -> None:
-    """The whole-graph format, column by column, streamed to one local file (a debugging format: one writer)."""
-    n = edges.count()
-    rows = edges.select("src", "dst").orderBy("src", "dst")
-    with open(path, "wb") as f:
-        np.array([vertices, vertices, n], dtype="<i8").tofile(f)
-        for c in ("src", "dst"):
-            block = []
-            for r in rows.select("src", "dst").toLocalIterator():
-                block.append(r[c])
-                if len(block) == 100_000:
-                    np.array(block, dtype="<i8").tofile(f)
-                    block = []
-            np.array(block, dtype="<i8").tofile(f)
+    """k, src, dst, src_owner, dst_owner of pairs of files <stem>_0 and <stem>_1 (a stem may be a glob), each M, N, nz, n, then n
+    end points. Both files of a pair have the same n."""
+    files = _with_header(_files(spark, f"{stem}_0"), ["m", "n", "nz", "here"], 8)
+    return _read_edges(_pieces(files, "here", 8), lambda r: (r["path"], 32), lambda r: (r["path"][:-1] + "1", 32), 8, "m", owners)
+
+
+def write_partitioned_graph(edges: DataFrame, folder: str, vertices: int, owners: int) -> int:
+    """Edges dealt to the owners of their ends (:func:`balance_edges`) as pairs of files; a partition writes what it has of an
+    owner, so an owner with many edges has several pairs."""
+    total = edges.count()
+
+    def encode(t: pa.Table) -> dict[str, bytes]:
+        out, owner = {}, t["owner"].to_numpy()
+        for k in np.unique(owner):
+            mine = owner == k
+            head = np.array([vertices, vertices, total, mine.sum()], dtype="<i8").tobytes()
+            for i, c in enumerate(("local", "other")):
+                out[f".npes={owners}.pe={k}_{i}"] = head + t[c].to_numpy()[mine].astype("<i8").tobytes()
+        return out
+
+    return write_parts(balance_edges(edges, vertices, owners), folder, encode)
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst, from 0, of a coordinate pattern general matrix. Another kind of matrix is refused; lines that aren't two
-    whole numbers are left out, as are comments and the size line."""
-    with open(path, encoding="utf-8") as f:
-        banner = f.readline().split()
-    if [x.lower() for x in banner[:5]] != ["%%matrixmarket", "matrix", "coordinate", "pattern", "general"]:
-        raise ValueError(f"not a coordinate pattern general matrix: {os.path.basename(path)}")
+    """src, dst, from 0, of coordinate pattern general matrices. Another kind of matrix is refused; lines that aren't two whole
+    numbers are left out, as are comments and the size line."""
+
+    def banners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = [_read(p, 0, 256).split(b"\n")[0].decode("utf-8", "replace").lower().split()[:5] for p in b.column(0).to_pylist()]
+            wrong = [p for p, h in zip(b.column(0).to_pylist(), heads) if h != ["%%matrixmarket", "matrix", "coordinate", "pattern", "general"]]
+            yield pa.RecordBatch.from_arrays([pa.array(wrong, pa.string())], names=["path"])
+
+    wrong = _files(spark, path).mapInArrow(banners, "path string").take(1)
+    if wrong:
+        raise ValueError(f"not a coordinate pattern general matrix: {os.path.basename(wrong[0][0])}")
     # the size line alone has three numbers
     f = F.split(F.trim("value"), r"\s+")
     pairs = spark.read.text(path).where(F.col("value").rlike(r"^\s*\d+\s+\d+\s*$"))
     return pairs.select((F.get(f, F.lit(0)).cast("long") - 1).alias("src"), (F.get(f, F.lit(1)).cast("long") - 1).alias("dst"))
 
 
+def write_matrix_market(edges: DataFrame, folder: str, vertices: int) -> int:
+    """Edges as coordinate pattern general matrices, a file per partition."""
+    banner = "%%MatrixMarket matrix coordinate pattern general\n"
+    lines = lambda t: "".join(f"{i + 1} {j + 1}\n" for i, j in zip(t["src"].to_pylist(), t["dst"].to_pylist()))
+    return write_parts(edges.select("src", "dst"), folder, lambda t: {".mtx": f"{banner}% one edge a line\n{vertices} {vertices} {t.num_rows}\n{lines(t)}".encode()})
+
+
 def read_text_edges(spark: SparkSession, path: str) -> DataFrame:
     """src, dst of lines "src dst"; other lines are left out."""
     f = F.split(F.trim("value"), r"\s+")
@@ -141,6 +215,6 @@ def balance_edges(edges: DataFrame, vertices: int, owners: int) -> DataFrame:
     """local, other, owner: each edge with one of its ends' owners, its end there first. Which end is a hash of the edge,
     so about half of each owner's edges go either way, without an order-dependent count."""
     a, b = owner_of_vertex(F.col("src"), vertices, owners), owner_of_vertex(F.col("dst"), vertices, owners)
-    first = F.pmod(F.xxhash64("src", "dst"), F.lit(2)) == 0
+    first = uniform("src", "dst") < 0.5
     pick = lambda x, y: F.when(first, x).otherwise(y)
     return edges.select(pick(F.col("src"), F.col("dst")).alias("local"), pick(F.col("dst"), F.col("src")).alias("other"), pick(a, b).alias("owner"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweft import model
@@ -10,19 +10,23 @@ from graphweft import model
 _DIRS = ("IN", "OUT", "BI")
 
 
-def vertex_lines(vertices: DataFrame, attributes: list[str], step: int) -> DataFrame:
-    """value: step,owner,id,n,(slot,value)* per vertex; null attributes are written as nan."""
+def _step(step: int | Column) -> Column:
+    return step.cast("string") if isinstance(step, Column) else F.lit(str(step))
+
+
+def vertex_lines(vertices: DataFrame, attributes: list[str], step: int | Column) -> DataFrame:
+    """value: step,owner,id,n,(slot,value)* per vertex, at one step or at that of a column; null attributes are written as nan."""
     pairs = [F.concat(F.lit(f"{i},"), F.when(F.col(a).isNull(), "nan").otherwise(F.format_string("%f", F.col(a).cast("double")))) for i, a in enumerate(attributes)]
     text = lambda c: F.lower(F.regexp_replace(c, "Infinity", "inf"))
-    return vertices.select(text(F.concat_ws(",", F.lit(str(step)), F.col("owner").cast("string"), F.col("id").cast("string"), F.lit(str(len(attributes))), *pairs)).alias("value"))
+    return vertices.select(text(F.concat_ws(",", _step(step), F.col("owner").cast("string"), F.col("id").cast("string"), F.lit(str(len(attributes))), *pairs)).alias("value"))
 
 
-def edge_lines(vertices: DataFrame, edges: DataFrame, step: int) -> DataFrame:
+def edge_lines(vertices: DataFrame, edges: DataFrame, step: int | Column) -> DataFrame:
     """value: step,owner,id,(DIR:owner:offset)* per vertex, entries in order of direction and target."""
     names = F.element_at(F.array(*[F.lit(d) for d in _DIRS]), F.col("dir").cast("int"))
     adj = model.adjacency(edges).where("dir > 0").select(F.col("src").alias("id"), F.struct("dir", "dst", F.concat_ws(":", names, model.owner_of(F.col("dst")).cast("string"), model.offset_of(F.col("dst")).cast("string")).alias("t")).alias("e"))
     lists = adj.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["t"]).alias("l"))
-    return vertices.join(lists, "id", "left").select(F.concat_ws(",", F.lit(str(step)), F.col("owner").cast("string"), F.col("id").cast("string"), "l").alias("value"))
+    return vertices.join(lists, "id", "left").select(F.concat_ws(",", _step(step), F.col("owner").cast("string"), F.col("id").cast("string"), "l").alias("value"))
 
 
 def dump_step(graph: model.Graph, attributes: list[str], step: int, folder: str) -> None:
