@@ -26,7 +26,7 @@ def epidemic(actors: DataFrame, steps: int, radius: float, dim: tuple[float, flo
     out = now.select(F.lit(0).alias("step"), "actor", "px", "py", "infected")
     for t in range(steps):
         ill = now.where("infected = 1").select(F.col("qx").alias("px"), F.col("qy").alias("py"))
-        caught = range_join(now.where("infected = 0").select("actor", "px", "py"), ill, ["px", "py"], radius).select(F.col("a.actor").alias("actor")).distinct().withColumn("hit", F.lit(1))
+        caught = range_join(ill, now.where("infected = 0").select("actor", "px", "py"), ["px", "py"], radius).select(F.col("b.actor").alias("actor")).distinct().withColumn("hit", F.lit(1))
         nx, ny = move_toward((F.col("px"), F.col("py")), (F.col("dst_x"), F.col("dst_y")), dim)
         now = cut(now.join(caught, "actor", "left").select("actor", nx.alias("nx"), ny.alias("ny"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.greatest("infected", F.coalesce("hit", F.lit(0))).alias("infected"), "dst_x", "dst_y").withColumnsRenamed({"nx": "px", "ny": "py"}))
         out = out.unionByName(now.select(F.lit(t + 1).alias("step"), "actor", "px", "py", "infected"))
