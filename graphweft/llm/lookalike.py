@@ -241,11 +241,21 @@ def look_classes(documents: DataFrame, key: str = "doc_id", text: str = "text")
     return fold_column(have, text, "folded").select(key, F.unhex(F.md5("folded")).alias("look"), F.unhex(F.md5(text)).alias("writing"))
 
 
+def look_members(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, class_id (the least key of the texts of that look), documents, writings: one row per document with text, with how
+    many documents and how many different writings its class has. Classes of any size: nothing is paired."""
+    docs = look_classes(documents, key, text)
+    by_writing = docs.groupBy("look", "writing").agg(F.count("*").alias("n"), F.min(key).alias("least"))
+    classes = by_writing.groupBy("look").agg(F.min("least").alias("class_id"), F.sum("n").alias("documents"), F.count("*").alias("writings"))
+    return docs.join(classes, "look").select(key, "class_id", "documents", "writings")
+
+
 def same_look_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_1 < doc_id_2): texts of the same look written in different characters.
 
-    Identical, null and empty texts make no pair. Only looks with more than one writing are joined, so a third of all
-    documents being copies of one text costs nothing; adaptive skew handling splits what remains."""
+    Identical, null and empty texts make no pair. Only looks with more than one writing are joined; adaptive skew handling
+    splits what remains. The pairs are what is asked for: a look with n documents in one writing and m in another has n m of
+    them, and :func:`look_members` says the same in one row per document."""
     docs = look_classes(documents, key, text)
     writings = docs.groupBy("look").agg(F.min("writing").alias("lo"), F.max("writing").alias("hi")).where("lo <> hi").select("look")
     mixed = docs.join(writings, "look", "left_semi")

@@ -70,12 +70,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(table(spark, d, "documents"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with text, the class of texts that look like it, and how many writings that has."""
+    return lookalike.look_members(table(spark, d, "documents"))
+
+
 def p8_folded(spark: SparkSession, d: str) -> DataFrame:
     """The consistent form of every document."""
     return lookalike.fold_column(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "folded")
 
 
-QUERIES = {"p5_percentiles": p5_percentiles, "p5_daily_merge": p5_daily_merge, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_folded": p8_folded}
+QUERIES = {"p5_percentiles": p5_percentiles, "p5_daily_merge": p5_daily_merge, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_classes": p8_classes, "p8_folded": p8_folded}
 _P5_TAIL = """
 b AS (SELECT {by}, field, CASE WHEN value IS NULL OR isnan(value) THEN NULL WHEN value = 0 THEN 0 WHEN value > 0 THEN 1 ELSE -1 END AS sign,
     CASE WHEN value IS NULL OR isnan(value) THEN NULL WHEN value = 0 THEN 0 WHEN isinf(value) THEN 2000000000 ELSE ceil(ln(abs(value)) / ln(1.01e0 / 0.99e0))::INTEGER END AS bucket

@@ -52,3 +52,11 @@ def test_pairs(spark):
     assert sorted(map(tuple, L.same_look_pairs(df).collect())) == [(1, 2), (2, 3), (6, 7)]
     assert L.same_look_pairs(df.limit(0)).count() == 0
     assert L.fold_column(df.withColumnRenamed("look", "folded")).columns == ["doc_id", "text", "folded"]
+
+
+def test_classes_of_a_hot_text(spark):
+    rows = [(i, "p\u0430y" if i % 2 else "pay", "x") for i in range(200)] + [(500, "other", "x"), (501, None, "x"), (502, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, look string")
+    got = {r["doc_id"]: (r["class_id"], r["documents"], r["writings"]) for r in L.look_members(df).collect()}
+    assert got == {i: (0, 200, 2) for i in range(200)} | {500: (500, 1, 1)}
+    assert L.look_members(df.limit(0)).count() == 0
