@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries and rows that a task holds at once, about.
 QUERY_BLOCK, ROW_BLOCK = 4096, 65_536
@@ -31,11 +32,11 @@ def radius_search(queries: DataFrame, rows: DataFrame, key: str, vector: str, ra
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("qb", block(n_q, "q")).withColumn("rb", each(n_r))
     right = r.withColumn("rb", block(n_r, "r")).withColumn("qb", each(n_q))
-    kind = rows.schema[key].dataType.simpleString()
+    q_type, r_type = (to_arrow_type(x.schema[key].dataType) for x in (q, r))
 
     def search(qs: pa.Table, rs: pa.Table) -> pa.Table:
         found = []
-        for n in set(qs["size"].to_pylist()) & set(rs["size"].to_pylist()):
+        for n in set(qs["size"].to_pylist()) & set(rs["size"].to_pylist()) if qs.num_rows and rs.num_rows else ():
             a, b = (x.filter(pa.compute.equal(x["size"], n)) for x in (qs, rs))
             u, v = _matrix(a["vector"]), _matrix(b["vector"])
             ids, own = (x[key].to_numpy() for x in (a, b))
@@ -49,6 +50,6 @@ def radius_search(queries: DataFrame, rows: DataFrame, key: str, vector: str, ra
                 found.append((ids[at][keep], own[i + to][keep]))
         at, to = ([f[j] for f in found] for j in (0, 1))
         join = lambda xs, like: pa.array(np.concatenate(xs) if xs else [], like)
-        return pa.table({"query": join(at, qs.schema.field(key).type), key: join(to, rs.schema.field(key).type)})
+        return pa.table({"query": join(at, q_type), key: join(to, r_type)})
 
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(search, f"query {q.schema[key].dataType.simpleString()}, `{key}` {kind}")
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(search, f"query {q.schema[key].dataType.simpleString()}, `{key}` {r.schema[key].dataType.simpleString()}")
