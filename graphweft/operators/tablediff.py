@@ -137,10 +137,9 @@ def edges_rule(a: Column, b: Column) -> Column:
     only_a, only_b = F.array_except(ta, tb), F.array_except(tb, ta)
     lists = F.when((F.size(only_a) > 0) | (F.size(only_b) > 0), F.array(_difference("edges", F.array_join(F.array_sort(only_a).cast("array<string>"), " "), F.array_join(F.array_sort(only_b).cast("array<string>"), " ")))).otherwise(F.array().cast(DIFF_TYPE))
 
-    def turned_from(own: Column, other: Column, other_targets: Column) -> Column:
-        return F.filter(F.array_except(own, other), lambda p: F.array_contains(other_targets, F.shiftright(p, 2)))
-
-    turned_a, turned_b = turned_from(pa, pb, tb), turned_from(pb, pa, ta)
+    # set operations only, which hash: a hub's list may have as many turned entries as others have
+    kept = F.flatten(F.transform(F.array_intersect(ta, tb), lambda t: F.array(*[t * 4 + c for c in range(4)])))
+    turned_a, turned_b = F.array_intersect(F.array_except(pa, pb), kept), F.array_intersect(F.array_except(pb, pa), kept)
     say = lambda p: F.array_join(F.transform(F.array_sort(p), lambda x: F.concat_ws(":", F.shiftright(x, 2).cast("string"), x.bitwiseAND(3).cast("string"))), " ")
     turned = F.when((F.size(turned_a) > 0) | (F.size(turned_b) > 0), F.array(_difference("dir", say(turned_a), say(turned_b)))).otherwise(F.array().cast(DIFF_TYPE))
     return F.concat(lists, turned)

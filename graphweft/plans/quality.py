@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphweft.operators import drift, spikes, tablediff
 from graphweft.session import table
@@ -23,6 +24,14 @@ def p1_differences(spark: SparkSession, d: str) -> DataFrame:
     return tablediff.trace_differences(*_traces(spark, d))
 
 
+def trace_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Three copies, the third as the first, each compared with each: differences by pair, kind of row and field."""
+    va, vb, ea, eb = _traces(spark, d)
+    every = tablediff.compare_many({"a": (va, ea), "b": (vb, eb), "c": (va, ea)})
+    fields = F.when(F.col("status") == "differs", F.transform("diffs", lambda x: x["field"])).otherwise(F.array("status"))
+    return every.select("left", "right", "record", F.explode(fields).alias("field")).groupBy("left", "right", "record", "field").agg(F.count("*").alias("n"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Readings that are spikes, stuck or impossible."""
     return spikes.find_spikes(table(spark, d, "perf_records"))
@@ -59,7 +68,7 @@ def p4_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_table(table(spark, d, "perf_files"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_differences": p1_differences, "p2_found": p2_found, "p3_found": p3_found, "p3_raw": p3_raw, "p3_vertices": p3_vertices, "p3_edges": p3_edges, "p4_found": p4_found, "p4_table": p4_table}
+QUERIES = {"trace_copies": trace_copies, "p1_found": p1_found, "p1_differences": p1_differences, "p2_found": p2_found, "p3_found": p3_found, "p3_raw": p3_raw, "p3_vertices": p3_vertices, "p3_edges": p3_edges, "p4_found": p4_found, "p4_table": p4_table}
 
 _P1_COPY = """
 v_{c} AS (SELECT step, vec_id, vec, vec[1]::BIGINT AS uid FROM (SELECT DISTINCT step, vec_id, vec FROM vertex_trace_{c})),
@@ -90,3 +99,5 @@ UNION ALL SELECT DISTINCT 'edge', step, uid, CASE WHEN da IS NULL OR db IS NULL
   FROM jp SEMI JOIN both_rows USING (step, uid) WHERE da IS DISTINCT FROM db
 """,
 }
+_SWAPPED = "CASE field WHEN 'missing_in_a' THEN 'missing_in_b' WHEN 'missing_in_b' THEN 'missing_in_a' ELSE field END"
+SQL["trace_copies"] = f"WITH found AS ({SQL['p1_found']}) SELECT 'a' AS left, 'b' AS right, record, field, count(*) AS n FROM found GROUP BY record, field UNION ALL SELECT 'b', 'c', record, {_SWAPPED}, count(*) FROM found GROUP BY record, field"

@@ -1,3 +1,5 @@
+import time
+
 from graphweft.operators import tablediff as T
 
 V = "step int, owner int, vec_id long, nelements int, vec array<double>, dumped_at timestamp, k string"
@@ -54,3 +56,13 @@ def test_two_ids_of_one_vertex_unite_their_edges(spark):
     va, vb = [(0, 1, [10.0]), (0, 2, [10.0]), (0, 3, [30.0]), (0, 4, [40.0])], [(0, 1, [10.0]), (0, 3, [30.0]), (0, 4, [40.0])]
     ea, eb = [(0, 1, [("BI", 0, 3)]), (0, 2, [("BI", 0, 4)])], [(0, 1, [("BI", 0, 4), ("BI", 0, 3)])]
     assert [x for x in found(spark, va, vb, ea, eb) if x[0] == "edge"] == []
+
+
+def test_a_hub_whose_entries_all_turn(spark):
+    n = 20_000
+    va = [(0, 1, [1.0]), *((0, 10 + i, [10.0 + i]) for i in range(3))]
+    ea = [(0, 1, [("IN", 0, 10 + i) for i in range(n)])]
+    eb = [(0, 1, [("OUT", 0, 10 + i) for i in range(n)])]
+    began = time.monotonic()
+    assert found(spark, va, va, ea, eb) == [("edge", 0, 1, "dir")]
+    assert time.monotonic() - began < 60
