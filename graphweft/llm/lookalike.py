@@ -251,14 +251,15 @@ def look_members(documents: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def same_look_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id_1 < doc_id_2): texts of the same look written in different characters.
+    """(doc_id_1 < doc_id_2): texts of the same look written in different characters, once per look; rows repeated count once.
 
     Identical, null and empty texts make no pair. Only looks with more than one writing are joined; adaptive skew handling
     splits what remains. The pairs are what is asked for: a look with n documents in one writing and m in another has n m of
     them, and :func:`look_members` says the same in one row per document."""
     docs = look_classes(documents, key, text)
     writings = docs.groupBy("look").agg(F.min("writing").alias("lo"), F.max("writing").alias("hi")).where("lo <> hi").select("look")
-    mixed = docs.join(writings, "look", "left_semi")
-    a = mixed.select("look", F.col(key).alias("doc_id_1"), F.col("writing").alias("w1"))
-    b = mixed.select("look", F.col(key).alias("doc_id_2"), F.col("writing").alias("w2"))
-    return a.join(b, "look").where("doc_id_1 < doc_id_2 and w1 <> w2").select("doc_id_1", "doc_id_2").distinct()
+    # once per look and document before they meet, so that pairs come once
+    mixed = docs.join(writings, "look", "left_semi").groupBy("look", key).agg(F.min("writing").alias("lo"), F.max("writing").alias("hi"))
+    a, b = (mixed.select("look", F.col(key).alias(f"doc_id_{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i in (1, 2))
+    other = (F.col("lo1") != F.col("lo2")) | (F.col("hi1") != F.col("hi2")) | (F.col("lo1") != F.col("hi1"))
+    return a.join(b, "look").where((F.col("doc_id_1") < F.col("doc_id_2")) & other).select("doc_id_1", "doc_id_2")
