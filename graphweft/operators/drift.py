@@ -164,8 +164,11 @@ def _agreements(files: DataFrame, pairs: DataFrame) -> DataFrame:
     asks = lambda file, names, old: open_pairs.select("stream_id", F.col(file).alias("file_no"), F.struct(F.col("file_no").alias("pair"), F.lit(old).alias("old"), F.col(names).alias("names")).alias("ask"))
     per_file = asks("prev_file", "gone", True).unionByName(asks("file_no", "new", False)).groupBy("stream_id", "file_no").agg(F.collect_list("ask").alias("asks"))
     docs = _documents(files.join(per_file, ["stream_id", "file_no"]), "stream_id", "asks").select("stream_id", "asks", F.try_variant_get("doc", "$.pe", "bigint").alias("pe"), F.try_variant_get("doc", "$.timestep", "bigint").alias("timestep"), F.expr("try_variant_get(doc, '$', 'map<string,variant>')").alias("values"))
-    number = lambda v: carried_number(kind_of(F.schema_of_variant(v)), F.try_variant_get(v, "$", "string"))
-    numbers = lambda ask: F.filter(F.transform(ask["names"], lambda n, i: F.struct(i.alias("i"), number(F.col("values")[n]).alias("x"))), lambda e: e["x"].isNotNull())
+    # one transform after the other, so that each value's type and text are made once
+    value = lambda n: F.col("values")[n]
+    texts = lambda ask: F.transform(ask["names"], lambda n, i: F.struct(i.alias("i"), F.schema_of_variant(value(n)).alias("shape"), F.try_variant_get(value(n), "$", "string").alias("text")))
+    kinds = lambda ask: F.transform(texts(ask), lambda r: F.struct(r["i"].alias("i"), kind_of(r["shape"]).alias("kind"), r["text"].alias("text")))
+    numbers = lambda ask: F.filter(F.transform(kinds(ask), lambda r: F.struct(r["i"].alias("i"), carried_number(r["kind"], r["text"]).alias("x"))), lambda e: e["x"].isNotNull())
     read = docs.where("pe is not null and timestep is not null").select("stream_id", "pe", "timestep", F.explode("asks").alias("ask"), "values").select("stream_id", F.col("ask.pair").alias("pair"), "pe", "timestep", F.col("ask.old").alias("old"), numbers(F.col("ask")).alias("found")).where("size(found) > 0")
     of = lambda old: F.array_distinct(F.flatten(F.collect_set(F.when(F.col("old") == F.lit(old), F.col("found")))))
     records = read.groupBy("stream_id", "pair", "pe", "timestep").agg(of(True).alias("gone"), of(False).alias("new")).where("size(gone) > 0 and size(new) > 0")
@@ -382,8 +385,9 @@ def consistent_table(files: DataFrame, most_columns: int = MOST_COLUMNS) -> Data
             taken.add(name.lower())
     names = named.groupBy("stream_id", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "name"))).alias("names"))
     docs = _documents(files.join(names, ["stream_id", "file_no"]), "stream_id", "file_no", "opened_at", "names").select("stream_id", "names", F.struct("opened_at", "file_no").alias("at"), F.try_variant_get("doc", "$.pe", "bigint").alias("pe"), F.try_variant_get("doc", "$.timestep", "bigint").alias("timestep"), F.expr("try_variant_get(doc, '$', 'map<string,variant>')").alias("values"))
-    entry = lambda e: F.struct(F.col("names")[e["key"]].alias("name"), kind_of(F.schema_of_variant(e["value"])).alias("kind"), F.try_variant_get(e["value"], "$", "string").alias("text"))
-    entries = F.transform(F.filter(F.map_entries("values"), lambda e: ~e["key"].isin("pe", "timestep")), entry)
+    entry = lambda e: F.struct(F.col("names")[e["key"]].alias("name"), F.schema_of_variant(e["value"]).alias("shape"), F.try_variant_get(e["value"], "$", "string").alias("text"))
+    shaped = F.transform(F.filter(F.map_entries("values"), lambda e: ~e["key"].isin("pe", "timestep")), entry)
+    entries = F.transform(shaped, lambda e: F.struct(e["name"].alias("name"), kind_of(e["shape"]).alias("kind"), e["text"].alias("text")))
     # whole records travel, to where both aggregations find them together
     records = docs.where("pe is not null and timestep is not null").select("stream_id", "pe", "timestep", "at", entries.alias("entries")).repartition("stream_id", "pe", "timestep")
     values = records.select("stream_id", "pe", "timestep", "at", F.explode_outer("entries").alias("e")).select("stream_id", "pe", "timestep", "at", "e.name", "e.kind", "e.text")
